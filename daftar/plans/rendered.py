@@ -106,7 +106,9 @@ def text_invoices(spark: SparkSession, sf: str) -> DataFrame:
     """OCR text lines of all rendered invoices: doc_id, page_no, line_no, text."""
     key = F.col("order_key")
     money = lambda c: F.col(c).cast("string")
-    trader = F.translate(F.lpad(F.col("o_custkey").cast("string"), 3, "0"), DIGITS, "ABCDEFGHIJ")
+    number = F.col("o_custkey").cast("string")
+    number = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
+    trader = F.translate(number, DIGITS, "ABCDEFGHIJ")
     foot = F.lit(FIRST_ITEM) + F.col("n_items") * ITEM_SLOT
     frame = _emit(
         order_totals(spark, sf),
@@ -140,7 +142,8 @@ def positioned_invoices(spark: SparkSession, sf: str) -> DataFrame:
     """The same orders as table cells with boxes and confidences, without SAR marks.
 
     Cells of one row lie up to 9 units apart in height, rows 30 apart. Every cell has
-    confidence 0.95, or 0.70 in rows of items whose number is a multiple of 4.
+    confidence 0.95, or 0.70 in rows of items whose number is a multiple of 4. Orders with
+    key % 6 = 0 have no column titles.
     """
     items = order_items(spark, sf)
     price = F.round(F.col("amount") / F.col("qty"), 2).cast(MONEY).cast("string")
@@ -167,7 +170,9 @@ def positioned_invoices(spark: SparkSession, sf: str) -> DataFrame:
         ]
     )
     head = order_totals(spark, sf).select(
-        "order_key", F.lit(0).alias("item_no"), F.explode(titles).alias("c")
+        "order_key",
+        F.lit(0).alias("item_no"),
+        F.explode(F.when(F.col("order_key") % 6 != 0, titles)).alias("c"),
     )
     top = F.lit(100.0) + F.col("item_no") * 30.0 + F.col("c.col") * 3.0
     return head.unionByName(body).select(
