@@ -34,7 +34,7 @@ def capture(c: Column, pattern: str, flags: str = "iu", group: int = 1) -> Colum
 
 def trim_all(c: Column) -> Column:
     """Trim every kind of Unicode white space, not only blanks."""
-    return F.regexp_replace(c, f"^{P.WHITESPACE}+|{P.WHITESPACE}+\\z", "")
+    return F.trim(c, F.lit(P.BLANKS))
 
 
 def arabic_digits(c: Column | str) -> Column:
@@ -77,7 +77,9 @@ def line_amount(c: Column, dtype: str = AMOUNT) -> Column:
 
 def _iso(year: Column, month: Column, day: Column) -> Column:
     """ISO text when the parts are in range, else NULL. Empty parts give NULL."""
-    y, m, d = (p.try_cast("int") for p in (year, month, day))
+    # parts come from digit patterns; the leading zero spares empty ones a failed cast, which
+    # is slow
+    y, m, d = (F.concat(F.lit("0"), p).try_cast("int") for p in (year, month, day))
     ok = y.between(P.YEAR_MIN, P.YEAR_MAX) & m.between(1, 12) & d.between(1, 31)
     return F.when(ok, F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
 

@@ -13,12 +13,8 @@ def _byte(hex_text: Column, at: Column) -> Column:
     return F.conv(F.substr(hex_text, at * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _records(payload: Column) -> Column:
+def _records(data: Column, size: Column) -> Column:
     """Map of tag to value. A record cut short ends the reading; a repeated tag: last wins."""
-    # the decoder skips foreign characters, so they go before decoding
-    clean = F.regexp_replace(payload, "[^A-Za-z0-9+/=]", "")
-    data = F.hex(F.when(F.length(clean) % 4 == 0, F.try_to_binary(clean, F.lit("base64"))))
-    size = F.length(data) / 2
     start = F.struct(F.lit(0).alias("at"), F.map_from_arrays(F.array(), F.array()).cast("map<int,string>").alias("seen"))
 
     def read(acc: Column, _: Column) -> Column:
@@ -29,7 +25,7 @@ def _records(payload: Column) -> Column:
         fits = (at + 1 < size) & (at + 2 + length <= size)
         more = F.struct((at + 2 + length).cast("int").alias("at"), F.map_concat(rest, F.create_map(tag, value)).alias("seen"))
         over = F.struct(F.lit(1 << 30).alias("at"), acc["seen"].alias("seen"))
-        return F.when(fits, more).otherwise(over)
+        return F.when(acc["at"] >= size, acc).when(fits, more).otherwise(over)
 
     # every record takes two bytes at least
     steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(size / 2).cast("int")))
@@ -38,8 +34,14 @@ def _records(payload: Column) -> Column:
 
 def decode_qr_table(payloads: DataFrame) -> DataFrame:
     """doc_id, payload to the five invoice fields; undecodable payloads give NULLs."""
-    tags = payloads.select("doc_id", _records(F.col("payload")).alias("_m"))
-    return tags.select("doc_id", *[F.try_element_at("_m", F.lit(t)).alias(n) for t, n in P.QR_TAGS.items()])
+    # the decoder skips foreign characters, so they go before decoding
+    clean = payloads.select("doc_id", F.regexp_replace("payload", "[^A-Za-z0-9+/=]", "").alias("b64"))
+    whole = F.length("b64") % 4 == 0
+    data = clean.select("doc_id", F.hex(F.when(whole, F.try_to_binary("b64", F.lit("base64")))).alias("data"))
+    tags = data.withColumn("size", F.length("data") / 2).select(
+        "doc_id", _records(F.col("data"), F.col("size")).alias("tags")
+    )
+    return tags.select("doc_id", *[F.try_element_at("tags", F.lit(t)).alias(n) for t, n in P.QR_TAGS.items()])
 
 
 def qr_reconcile(decoded: DataFrame, headers: DataFrame, tolerance: str = P.ARITHMETIC_TOLERANCE) -> DataFrame:

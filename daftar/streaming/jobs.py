@@ -8,6 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from daftar.operators.rollups import windowed_counts
 from daftar.operators.validate import validate_invoices
@@ -41,10 +42,10 @@ def stream_documents(spark: SparkSession, source: str, target: str, checkpoint:
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.parquet(path)
 
-    def earlier(session: SparkSession, schema, batch_id: int) -> DataFrame | None:
-        if batch_id == 0:
-            return None
-        stored = session.read.schema(schema).option("basePath", tables["extractions"]).parquet(tables["extractions"])
+    def earlier(new: DataFrame, batch_id: int) -> DataFrame:
+        base = tables["extractions"]
+        schema = StructType([*new.schema.fields, StructField("batch", IntegerType())])
+        stored = new.sparkSession.read.schema(schema).option("basePath", base).parquet(base)
         return stored.where(F.col("batch") < batch_id).drop("batch")
 
     def process(batch: DataFrame, batch_id: int) -> None:
@@ -52,11 +53,10 @@ def stream_documents(spark: SparkSession, source: str, target: str, checkpoint:
         found = extract_invoices(lines, F.current_timestamp(), mode)
         new = store(found.extractions, "extractions", batch_id)
         new_lines = store(found.lines, "lines", batch_id)
-        from pyspark.sql.types import IntegerType, StructType
-
-        old = earlier(batch.sparkSession, StructType(new.schema.fields).add("batch", IntegerType()), batch_id)
-        # whoever came first is unaffected; of the verdicts only the new ones are kept
-        known = new if old is None else old.select(new.columns).unionByName(new)
+        # of the stored extractions only those with a number of this batch matter
+        same = new.select("supplier_vat_number", "invoice_number").distinct()
+        old = earlier(new, batch_id).join(same, ["supplier_vat_number", "invoice_number"], "left_semi")
+        known = new.unionByName(old.select(new.columns))
         verdicts = validate_invoices(known, new_lines, duplicates="arrival")
         store(verdicts.join(new.select("extraction_id"), "extraction_id", "left_semi"), "verdicts", batch_id)
 
