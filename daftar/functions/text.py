@@ -69,6 +69,18 @@ def leading_number(c: Column | str, dtype: str = "double") -> Column:
     return F.nullif(F.regexp_extract(bare, P.LEADING_NUMBER, 1), F.lit("")).try_cast(dtype)
 
 
+def cell_number(c: Column | str, dtype: str = AMOUNT) -> Column:
+    """Number at the start of a table cell, as ``leading_number(single_line(c))``.
+
+    Of the canonical form only digits, marks and separators can change a leading number,
+    so one translation does; commas (Arabic ones too) are dropped, not kept.
+    """
+    digits = P.ARABIC_INDIC_DIGITS + P.PERSIAN_DIGITS
+    plain = F.translate(as_col(c), digits + "٫" + P.BIDI_MARKS + "،,", "0123456789" * 2 + ".")
+    bare = F.regexp_replace(plain, f"{P.WHITESPACE}+", "")
+    return F.nullif(F.regexp_extract(bare, P.LEADING_NUMBER, 1), F.lit("")).try_cast(dtype)
+
+
 def line_amount(c: Column, dtype: str = AMOUNT) -> Column:
     """Amount marked as SAR on one canonical line: prefix form first, then suffix."""
     text = F.coalesce(capture(c, P.SAR_BEFORE_AMOUNT, "i"), capture(c, P.SAR_AFTER_AMOUNT, "i"))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from daftar.functions.text import (
     canonical_text,
+    cell_number,
     date_from_digit_runs,
     leading_number,
     line_amount,
@@ -46,6 +47,14 @@ def test_leading_number(spark, text, expected):
     assert one(spark, text, leading_number) == expected
 
 
+@pytest.mark.parametrize(
+    "text", ["٣٠٫٥٠", "1،234.5 ريال", "‏ ۱۲ x", "SAR 5", "ر.س 5", "12 ر.س", ",5", "- 3", "abc", "", "1 2 3", "٫5", "+٧", "5 e2"]
+)
+def test_cell_number_is_the_number_of_the_canonical_text(spark, text):
+    canonical = one(spark, text, lambda c: leading_number(single_line(c), "decimal(20,2)"))
+    assert one(spark, text, cell_number) == canonical
+
+
 @pytest.mark.parametrize(
     "text, expected",
     [("SAR 17.00", 17.0), ("100.00 SAR", 100.0), ("some text 123", None), ("SAR 1,234.50", 123.0), ("SAR 12,50", 1250.0)],
