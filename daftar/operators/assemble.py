@@ -16,14 +16,14 @@ def _joined_text(lines: DataFrame, keys: list[str]) -> DataFrame:
     parts = (
         lines.groupBy(*keys, F.floor(F.col("line_no") / _SLICE).alias("_s"))
         .agg(
-            F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "text")))["text"], "\n").alias("_t"),
+            F.array_join(F.sort_array(F.collect_list(F.struct("line_no", "text")))["text"], "\n").alias("_t"),
             F.sum("confidence").alias("_c"),
             F.count("*").alias("_n"),
         )
     )
     mean = F.round(F.sum("_c") / F.sum("_n"), 4)
     return parts.groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("_s", "_t")))["_t"], "\n").alias("raw_text"),
+        F.array_join(F.sort_array(F.collect_list(F.struct("_s", "_t")))["_t"], "\n").alias("raw_text"),
         F.sum("_n").alias("n_lines"),
         mean.alias("confidence"),
     )
@@ -50,7 +50,7 @@ def document_summary(lines: DataFrame, documents: DataFrame | None = None) -> Da
 def document_markdown(lines: DataFrame) -> DataFrame:
     """Texts of a document from top to bottom, whatever page they are on."""
     return lines.groupBy("doc_id").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("y1", "line_no", "text")))["text"], "\n").alias("markdown")
+        F.array_join(F.sort_array(F.collect_list(F.struct("y1", "line_no", "text")))["text"], "\n").alias("markdown")
     )
 
 

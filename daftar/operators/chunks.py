@@ -30,7 +30,7 @@ def long_documents(lines: DataFrame, size: int = CHUNK) -> DataFrame:
 
 
 def _gather(lines: DataFrame, size: int) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("line_no", "text")))
     return (
         lines.groupBy("doc_id", F.floor(F.col("line_no") / size).cast("int").alias("chunk"))
         .agg(ordered.alias("_l"))
@@ -53,7 +53,7 @@ def document_chunks(
     """
     none = F.array().cast("array<string>")
     if not (has_long_documents(lines, size) if split is None else split):
-        ordered = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+        ordered = F.sort_array(F.collect_list(F.struct("line_no", "text")))
         whole = lines.groupBy("doc_id").agg(ordered.alias("_l"))
         return whole.select("doc_id", to_lines(F.col("_l.text")).alias("core")).select(
             "doc_id",

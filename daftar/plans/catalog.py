@@ -307,7 +307,7 @@ def _ocr_documents(spark: SparkSession, sf: str) -> DataFrame:
             ).alias("box"),
         ).alias("l"),
     )
-    docs = text_invoices(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(line))["l"].alias("lines"))
+    docs = text_invoices(spark, sf).groupBy("doc_id").agg(F.sort_array(F.collect_list(line))["l"].alias("lines"))
     return docs.select(
         "doc_id", F.lit("hybrid").alias("engine"), F.lit("standard").alias("pass"),
         F.array(F.struct(F.lit(1).alias("pageNumber"), "lines")).alias("pages"),
@@ -333,7 +333,7 @@ def _engine_pages(spark: SparkSession, sf: str) -> DataFrame:
     x, y = F.col("qty").cast("double"), F.col("item_no") * 20.0
     poly = F.array(point(x, y), point(x + 90.0, y + 1.0), point(x + 91.0, y + 18.0), point(x - 1.0, y + 17.0))
     rows = order_items(spark, sf).groupBy("order_key").agg(
-        F.array_sort(F.collect_list(F.struct("item_no", "name", poly.alias("poly"), (x / 50).alias("score")))).alias("r")
+        F.sort_array(F.collect_list(F.struct("item_no", "name", poly.alias("poly"), (x / 50).alias("score")))).alias("r")
     )
     n = F.size("r")
     cut = lambda c, drop: F.slice(F.col(f"r.{c}"), F.lit(1), F.greatest(n - drop, F.lit(0)))
@@ -368,7 +368,7 @@ def flatten_legacy(spark, sf):
         (x / 50).alias("confidence"),
     )
     first = order_items(spark, sf).groupBy("order_key").agg(
-        F.array_sort(F.collect_list(F.struct("item_no", line.alias("l"))))["l"].alias("p")
+        F.sort_array(F.collect_list(F.struct("item_no", line.alias("l"))))["l"].alias("p")
     )
     # a second page repeats the first and must not show up
     pages = first.select(F.col("order_key").cast("string").alias("doc_id"), F.array("p", "p").alias("pages"))
