@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.llm import mixing, secrets
+from daftar.llm import jaccard, mixing, secrets
 from daftar.llm.shared import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,11 @@ def mix_sources(spark, sf):
     return out.orderBy(F.col("at").asc_nulls_last(), "doc_id").drop("at")
 
 
+@query("op4_jaccard_join")
+def jaccard_join(spark, sf):
+    return jaccard.near_duplicates(table(spark, sf, "documents"))
+
+
 def _found_sql(kind: str, nth: int, pattern: str, group: int, least: int) -> str:
     quoted = pattern.replace("'", "''")
     return f"""
