@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.llm import jaccard, mixing, secrets
+from daftar.llm import jaccard, mixing, pieces, secrets
 from daftar.llm.shared import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,15 @@ def scan_secrets(spark, sf):
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans")
     )
+
+
+def piece_model() -> str:
+    """The model file of the public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op9_sentencepiece")
+def sentencepiece_round_trip(spark, sf):
+    return pieces.round_trip(table(spark, sf, "documents"), pieces.load(piece_model()))
