@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.llm import jaccard, mixing, pieces, secrets
+from daftar.llm import jaccard, mixing, pieces, secrets, warc
 from daftar.llm.shared import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,3 +117,8 @@ def piece_model() -> str:
 @query("op9_sentencepiece")
 def sentencepiece_round_trip(spark, sf):
     return pieces.round_trip(table(spark, sf, "documents"), pieces.load(piece_model()))
+
+
+@query("op10_warc")
+def warc_round_trip(spark, sf):
+    return warc.round_trip(table(spark, sf, "pages"))
