@@ -3,15 +3,16 @@
 Sets are put into size bands. Within a band the universe (all 64-bit hashes) is cut into
 segments. If two sets link, they differ in at most H elements, H following from the band;
 so if thresholds v are given to segments with the sum of (v + 1) above H, in some segment
-the two differ by at most v. Every set indexes its non-empty segments; every set probes
-the segments that cost least, H + 1 of them at v = 0 (equal segments). A set whose
-elements crowd into too few segments takes v = 1 on some, which is answered by one-deletion
-neighbourhoods on both sides. Costs come from a sketch of key frequencies over all
-documents; they steer the work, not the result. All candidates are verified exactly.
-
-Only connectivity is asked for, so a key held by many sets gives a star around one of
-them. Where a key's sets are still in different components after the stars were
-verified, the pairs across components follow, so no link between components is lost.
+the two differ by at most v. Every set indexes its non-empty segments and probes H + 1 of
+them at v = 0 (equal segments). Which ones is decided by cost: the holders of all keys are
+counted exactly, and a set takes the segments that fewest others hold. Segments that nobody
+else holds cost nothing, so a set without near copies probes nothing, whatever passages it
+shares. A set whose elements crowd into too few segments takes v = 1 on some, which is
+answered by one-deletion neighbourhoods on both sides. All candidates are verified exactly.
+
+Only connectivity is asked for, so a probed key gives a star around its smallest holder.
+Where a key's holders are still in different components after the stars were verified, the
+pairs across components follow, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from daftar.llm.components import components
@@ -28,11 +30,12 @@ from daftar.llm.shared import drop_staged, small_batches, stage
 from daftar.llm.shingles import digest, mixed, shingle_set
 
 SHARE = 75  # sets link when 100 * intersection >= SHARE * union
-CELLS, BLOCK = 1 << 18, 1 << 8  # of the frequency sketch
 KEYS_PER_PART = 4_000_000
 CROWDED = 100  # up to this size a band has so many segments that elements rarely share one
 _SEGMENT, _BAND, _SHORTER = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
-INDEX, PROBE = 1, 2
+# what a key is to its document: a segment it indexes and may probe, a segment of the band
+# below that it may probe, an entry of the index alone, a probe that it has to make
+OWN, BELOW, INDEX, MUST = range(4)
 
 
 def bands(upto: int) -> list[int]:
@@ -56,27 +59,24 @@ def scheme(band: int) -> tuple[int, int]:
     """H and the number of segments for pairs whose smaller set is in the band."""
     high = int(_LOWS[band + 1]) - 1
     differ = most_different(high)
-    return differ, 64 * high if high <= CROWDED else (differ + 1) * 3 // 2
+    return differ, 64 * high if high <= CROWDED else (differ + 1) * 7 // 5
 
 
 class Keys:
     """Keys of one set under one band's scheme."""
 
-    def __init__(self, hashes: np.ndarray, band: int, cost: np.ndarray | None):
+    def __init__(self, hashes: np.ndarray, band: int):
         self.band, (self.differ, self.segments) = band, scheme(band)
         self.salt = np.uint64((self.band + 1) * int(_BAND) % (1 << 64))
-        spread = mixed(hashes)
+        self.spread = mixed(hashes)
         segment = ((hashes >> np.uint64(32)) * np.uint64(self.segments)) >> np.uint64(32)
         self.starts = np.flatnonzero(np.diff(segment, prepend=np.uint64(1 << 63)))
         self.filled = segment[self.starts]
         self.sizes = np.diff(self.starts, append=len(hashes))
-        self.sums, self.spread = np.add.reduceat(spread, self.starts), spread
+        self.sums = np.add.reduceat(self.spread, self.starts)
         self.full = self.key(self.sums, self.filled)
-        price = np.zeros(len(self.full)) if cost is None else cost[(self.full % np.uint64(CELLS)).astype(np.int64)]
-        self.cheap = np.argsort(price, kind="stable")
         self.missing = max(0, self.differ + 1 - len(self.full))
-        several = self.cheap[self.sizes[self.cheap] > 1]
-        self.loose = several[: self.missing]  # segments that take v = 1
+        self.loose = np.flatnonzero(self.sizes > 1)[: self.missing]  # segments that take v = 1
         self.blank = self.missing - len(self.loose)  # empty segments needed besides
 
     def key(self, sums: np.ndarray, segment: np.ndarray) -> np.ndarray:
@@ -92,117 +92,114 @@ class Keys:
         left = np.setdiff1d(np.arange(self.segments, dtype=np.uint64), self.filled)[:most]
         return self.key(np.zeros(len(left), dtype=np.uint64), left)
 
-    def probes(self) -> np.ndarray:
-        parts = [self.full[self.cheap[: self.differ + 1]]]
-        if self.missing:
-            parts += [self.without_one(self.loose), mixed(self.full[self.loose] ^ _SHORTER), self.empty(self.blank)]
-        return np.concatenate(parts)
+    def more_probes(self) -> list[np.ndarray]:
+        """Probes besides the segments' own keys, which all have to be made."""
+        if not self.missing:
+            return []
+        return [self.without_one(self.loose), mixed(self.full[self.loose] ^ _SHORTER), self.empty(self.blank)]
 
-    def index(self, deletions: bool, blanks: bool) -> np.ndarray:
-        parts = [self.full]
+    def more_index(self, deletions: bool, blanks: bool) -> list[np.ndarray]:
+        """Index keys besides the segments' own."""
+        parts = []
         if deletions:  # segments of one element cannot be one more than a non-empty one
             parts.append(mixed(self.without_one(np.flatnonzero(self.sizes > 1)) ^ _SHORTER))
         if blanks:
             parts.append(self.empty())
-        return np.concatenate(parts)
+        return parts
 
 
-def _schemes(hashes: np.ndarray, cost: np.ndarray | None) -> list[Keys]:
+def schemes(hashes: np.ndarray) -> list[Keys]:
     """The set's own band, and the one below if smaller partners can be there."""
     band = int(np.searchsorted(_LOWS, len(hashes), "right")) - 1
     smallest = -(-SHARE * len(hashes) // 100)
-    return [Keys(hashes, b, cost) for b in (band, band - 1) if b == band or (b >= 0 and smallest < _LOWS[band])]
+    return [Keys(hashes, b) for b in (band, band - 1) if b == band or (b >= 0 and smallest < _LOWS[band])]
 
 
-def keys_of(hashes: np.ndarray, cost: np.ndarray | None, loose: set[int], blank: set[int]) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of a set and what each is for (INDEX, PROBE or both)."""
-    own, *below = _schemes(hashes, cost)
-    index, probes = own.index(own.band in loose, own.band in blank), own.probes()
-    keys = np.concatenate([index, probes, *[b.probes() for b in below]])
-    use = np.full(len(keys), PROBE, dtype=np.uint64)
-    use[: len(index)] = INDEX
-    order = np.argsort(keys, kind="stable")
-    keys, use = keys[order], use[order]
-    first = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ np.uint64(1)))
-    return keys[first], np.bitwise_or.reduceat(use, first)
+def keys_of(hashes: np.ndarray, loose: set[int], blank: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a set and what each is to it (OWN, BELOW, INDEX, MUST)."""
+    own, *below = schemes(hashes)
+    parts = [(OWN, [own.full]), (BELOW, [k.full for k in below])]
+    parts += [(INDEX, own.more_index(own.band in loose, own.band in blank)), (MUST, own.more_probes() + [x for k in below for x in k.more_probes()])]
+    keys = np.concatenate([x for _, some in parts for x in some])
+    use = np.repeat(np.array([u for u, _ in parts], dtype=np.uint64), [sum(map(len, some)) for _, some in parts])
+    return keys, use
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str | None]]:
     return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
 
 
-SETS = "kind int, doc_id long, n long, digest binary, cells binary, place int"
+SETS = "doc_id long, n long, digest binary, probes array<int>, loose array<int>, blank array<int>"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents' set sizes and digests (kind 0), the task's key counts (1), bands in need (2 loose, 3 blank)."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("cells", pa.binary()), ("place", pa.int32())])
-    counts, needs, keys = np.zeros(CELLS, dtype=np.int64), set(), 0
+    """Set sizes and digests; by scheme (own, below) how many probes are more than the set's
+    segments (negative: fewer) and the bands for which deletions and empty segments are needed."""
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
     for batch in batches:
         rows = []
         for doc_id, text in _texts(batch):
             hashes = shingle_set(text)
-            rows.append((0, doc_id, len(hashes), digest(hashes) if len(hashes) else None, None, None))
-            for k in _schemes(hashes, None) if len(hashes) else []:
-                np.add.at(counts, (k.full % np.uint64(CELLS)).astype(np.int64), 1)
-                keys += len(k.full)
-                needs |= {(2, k.band)} if k.missing else set()
-                needs |= {(3, k.band)} if k.blank else set()
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
-    blocks = counts.reshape(-1, BLOCK)
-    rows = [(1, None, None, None, blocks[i].tobytes(), i) for i in np.flatnonzero(blocks.any(axis=1))]
-    rows += [(kind, None, None, None, None, band) for kind, band in needs] + [(4, None, keys, None, None, None)]
-    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
-def _sum_cells(group: pa.Table) -> pa.Table:
-    total = np.zeros(BLOCK, dtype=np.int64)
-    for cells in group.column("cells"):
-        total += np.frombuffer(cells.as_buffer(), dtype=np.int64)
-    return pa.table({"place": group.column("place").slice(0, 1), "cells": pa.array([total.tobytes()], pa.binary())})
+            keys = schemes(hashes) if len(hashes) else []
+            rows.append((
+                doc_id, len(hashes), digest(hashes) if len(hashes) else None, [k.differ + 1 - len(k.full) for k in keys],
+                [k.band for k in keys if k.missing], [k.band for k in keys if k.blank],
+            ))
+        columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n", "digest", "probes", "loose", "blank"]
+        )
 
 
 PACKED = "part long, docs binary, counts binary, keys binary"
 
 
-def _pack(parts: int, cost: np.ndarray, loose: set[int], blank: set[int]):
+def _pack(parts: int, loose: set[int], blank: set[int]):
     """Keys by part: per batch and part one row with the documents, their numbers of keys, and 5 bytes per key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # copies within a task give keys once; 16 bytes per document of the task
         for batch in batches:
-            ids, counts, keys, uses = [], [], [], []
+            ids, keys, uses = [], [], []
             for doc_id, text in _texts(batch):
                 hashes = shingle_set(text) if doc_id is not None else np.zeros(0, dtype=np.uint64)
                 mark = digest(hashes)
                 if not len(hashes) or mark in seen:
                     continue
                 seen.add(mark)
-                k, u = keys_of(hashes, cost, loose, blank)
-                ids.append(doc_id), counts.append(len(k)), keys.append(k), uses.append(u)
+                k, u = keys_of(hashes, loose, blank)
+                ids.append(doc_id), keys.append(k), uses.append(u)
             if not ids:
                 continue
             key, use = np.concatenate(keys), np.concatenate(uses)
-            owner = np.repeat(np.arange(len(ids)), counts)
+            owner = np.repeat(np.arange(len(ids)), list(map(len, keys)))
             part = ((key >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             packed = ((key & np.uint64((1 << 38) - 1)) << np.uint64(2) | use)[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            owner, ids = owner[order], np.array(ids, dtype=np.int64)
             rows: list[list] = [[], [], [], []]
             for p in np.flatnonzero(np.diff(cuts)):
-                who, many = np.unique(owner[order[cuts[p] : cuts[p + 1]]], return_counts=True)
-                for column, value in zip(rows, (int(p), np.array(ids, dtype=np.int64)[who].tobytes(), many.astype(np.int32).tobytes(), packed[cuts[p] : cuts[p + 1]].tobytes()), strict=True):
+                mine = owner[cuts[p] : cuts[p + 1]]
+                first = np.flatnonzero(np.diff(mine, prepend=-1))
+                many = np.diff(first, append=len(mine)).astype(np.int32)
+                for column, value in zip(rows, (int(p), ids[mine[first]].tobytes(), many.tobytes(), packed[cuts[p] : cuts[p + 1]].tobytes()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *[pa.array(c, pa.binary()) for c in rows[1:]]], names=["part", "docs", "counts", "keys"])
 
     return run
 
 
-FOUND = "a long, b long, held_by long, doc_id long, probes boolean"
+FOUND = "doc_id long, use int, held long, n_keys long, before long, lead long, indexed boolean"
 
 
 def _meet(group: pa.Table) -> pa.Table:
-    """Of one part: stars (a, b) of keys with a probe, and the holders of keys with further probes."""
+    """Of one part: keys with an indexing and a further document, those with the same holders taken together.
+
+    A row per holder: ``held`` names the set of holders, ``n_keys`` says how many keys they
+    share, ``before`` how many candidates the holder gets by probing, ``lead`` the smallest.
+    Of two documents of one band the larger identifier probes.
+    """
     ids, keys = [], []
     for docs, counts, packed in zip(*[group.column(c) for c in ("docs", "counts", "keys")], strict=True):
         ids.append(np.repeat(np.frombuffer(docs.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int32)))
@@ -210,41 +207,59 @@ def _meet(group: pa.Table) -> pa.Table:
         wide[:, :5] = np.frombuffer(packed.as_buffer(), np.uint8).reshape(-1, 5)
         keys.append(wide.view("<u8").ravel())
     who, key = np.concatenate(ids), np.concatenate(keys)
-    use, key = key & np.uint64(3), key >> np.uint64(2)
-    order = np.argsort(key, kind="stable")
+    use, key = (key & np.uint64(3)).astype(np.int64), key >> np.uint64(2)
+    order = np.argsort(key)
+    first = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+    size = np.diff(first, append=len(key))
+    order = order[np.repeat(size > 1, size)]
     key, who, use = key[order], who[order], use[order]
-    same = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-    many = np.diff(same, append=len(key))
-    keep = np.repeat(many > 1, many)
-    key, who, use = key[keep], who[keep], use[keep]
-    nothing = np.zeros(0, dtype=np.int64)
-    stars, holders = [], []
-    if len(key):
-        # probes first within a key, the smallest document among them leads
-        order = np.lexsort((who, (use & np.uint64(PROBE)) == 0, key))
-        key, who, use = key[order], who[order], use[order]
-        first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-        size = np.diff(first, append=len(key))
-        probing = np.add.reduceat((use & np.uint64(PROBE) > 0).astype(np.int64), first)
-        lead, lead_use = np.repeat(who[first], size), np.repeat(use[first], size)
-        group_probing, group_size = np.repeat(probing, size), np.repeat(size, size)
-        # one of the two probes and the other is indexed
-        useful = ((lead_use & np.uint64(PROBE)) > 0) & ((use & np.uint64(INDEX)) > 0)
-        useful |= ((use & np.uint64(PROBE)) > 0) & ((lead_use & np.uint64(INDEX)) > 0)
-        pair = useful & (who != lead)
-        stars = np.unique(np.stack([np.minimum(lead, who)[pair], np.maximum(lead, who)[pair]], axis=1), axis=0)
-        more = (group_probing > 1) & (group_size > 2)
-        holders = (key[more], who[more], (use[more] & np.uint64(PROBE)) > 0)
-    a, b = (stars[:, 0], stars[:, 1]) if len(stars) else (nothing, nothing)
-    h, d, p = holders if holders else (nothing.astype(np.uint64), nothing, nothing.astype(bool))
-    part = np.uint64(group.column("part")[0].as_py())
-    held = mixed(h * _SEGMENT + part).astype(np.int64)
-    blank = lambda n: pa.nulls(n, pa.int64())
-    return pa.table({
-        "a": pa.concat_arrays([pa.array(a), blank(len(d))]), "b": pa.concat_arrays([pa.array(b), blank(len(d))]),
-        "held_by": pa.concat_arrays([blank(len(a)), pa.array(held)]), "doc_id": pa.concat_arrays([blank(len(a)), pa.array(d)]),
-        "probes": pa.concat_arrays([pa.nulls(len(a), pa.bool_()), pa.array(p)]),
-    })
+    # within a key: indexing documents first, by identifier
+    index = (use == OWN) | (use == INDEX)
+    order = np.lexsort((use, who, ~index, key))
+    key, who, use, index = key[order], who[order], use[order], index[order]
+    first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+    size = np.diff(first, append=len(key))
+    indexing = np.add.reduceat(index.astype(np.int64), first) if len(first) else size
+    place = np.arange(len(key)) - np.repeat(first, size)
+    # candidates by probing: all indexing documents, or those before it in its own band
+    before = np.where(use == OWN, place, np.where(use == INDEX, 0, np.repeat(indexing, size)))
+    met = np.repeat(np.add.reduceat(before, first) > 0, size) if len(first) else np.zeros(0, dtype=bool)
+    key, who, use, index, before = key[met], who[met], use[met], index[met], before[met]
+    if not len(key):
+        return pa.Table.from_batches([], schema=_FOUND)
+    first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+    size = np.diff(first, append=len(key))
+    names = np.add.reduceat(mixed(who.astype(np.uint64) * np.uint64(4) + use.astype(np.uint64)), first)
+    names, chosen, many = np.unique(names, return_index=True, return_counts=True)
+    rows = np.repeat(first[chosen], size[chosen]) + np.arange(size[chosen].sum()) - np.repeat(np.cumsum(size[chosen]) - size[chosen], size[chosen])
+    n = size[chosen]
+    return pa.table([
+        pa.array(who[rows]), pa.array(use[rows].astype(np.int32)), pa.array(np.repeat(names, n).astype(np.int64)), pa.array(np.repeat(many, n).astype(np.int64)),
+        pa.array(before[rows]), pa.array(np.repeat(who[first[chosen]], n)), pa.array(index[rows]),
+    ], schema=_FOUND)
+
+
+_FOUND = pa.schema([
+    ("doc_id", pa.int64()), ("use", pa.int32()), ("held", pa.int64()), ("n_keys", pa.int64()), ("before", pa.int64()), ("lead", pa.int64()), ("indexed", pa.bool_()),
+])
+
+
+def _probed(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """The cost-based allocation: rows of ``found`` that their documents probe.
+
+    A document makes ``probes`` of its segments' number; segments nobody else holds come
+    first, then those with the fewest candidates. A document's rows are at most its keys. An
+    identifier with several texts probes all.
+    """
+    bare = F.coalesce(F.try_element_at("probes", F.col("use") + 1), F.lit(0))
+    known = sets.groupBy("doc_id").agg(F.first("probes").alias("probes"), (F.min("digest") != F.max("digest")).alias("several"))
+    rows = found.filter("before > 0").join(known, "doc_id")
+    by_doc = W.partitionBy("doc_id", "use")
+    dearer = by_doc.orderBy(F.desc("before"), F.desc("held")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    # probes needed = (probes - segments) + all shared segments; a row is needed unless it and
+    # the dearer ones together fit into what may be left out
+    spare = F.when(F.col("several"), 0).otherwise(-bare)
+    return rows.withColumn("dear", F.sum("n_keys").over(dearer)).filter((F.col("use") == MUST) | (F.col("dear") > spare)).drop("probes", "several", "dear")
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,21 +305,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = stage(texts.mapInArrow(_describe, SETS), "shingle-sets")
-    sets = told.filter("kind = 0").select("doc_id", "n", "digest")
-    # bounded: CELLS counters, two flags per band, one number
-    cost = np.zeros(CELLS, dtype=np.int64)
-    for row in told.filter("kind = 1").select("place", "cells").groupBy("place").applyInArrow(_sum_cells, "place int, cells binary").toLocalIterator():
-        cost[row.place * BLOCK : (row.place + 1) * BLOCK] = np.frombuffer(row.cells, np.int64)
-    needs = {(r.kind, r.place) for r in told.filter("kind in (2, 3)").select("kind", "place").distinct().collect()}
-    loose, blank = ({band for kind, band in needs if kind == k} for k in (2, 3))
-    parts = -(-(told.filter("kind = 4").agg(F.sum("n")).first()[0] or 0) // KEYS_PER_PART) or 1
+    sets = stage(texts.mapInArrow(_describe, SETS), "shingle-sets")
+    # bounded: at most one entry per size band, and one number
+    need = sets.agg(*[F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in ("loose", "blank")], F.sum("n").alias("n")).first()
+    parts = -(-(need.n or 0) // KEYS_PER_PART) or 1
 
     named = sets.filter("n > 0 and doc_id is not null")
     heads = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     of = stage(named.join(heads, "digest").select("doc_id", "rep", "n").distinct(), "representatives")
-    packed = texts.mapInArrow(_pack(parts, cost, loose, blank), PACKED)
-    found = stage(packed.groupBy("part").applyInArrow(_meet, FOUND), "candidates")
+    packed = texts.mapInArrow(_pack(parts, set(need.loose), set(need.blank)), PACKED)
+    found = packed.groupBy("part").applyInArrow(_meet, FOUND)
+    # the same holders may share keys in several parts
+    found = found.groupBy("doc_id", "use", "held").agg(
+        F.sum("n_keys").alias("n_keys"), F.max("before").alias("before"), F.min("lead").alias("lead"), F.max("indexed").alias("indexed")
+    )
+    found = stage(found, "key-holders")
+    probed = stage(_probed(found, sets), "probes")
 
     def by_rep(df: DataFrame, key: str, rep: str, n: str) -> DataFrame:
         mine = of.select(F.col("doc_id").alias(key), F.col("rep").alias(rep), F.col("n").alias(n))
@@ -315,25 +331,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ok = (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= SHARE * F.greatest("na", "nb"))
         return df.filter(ok).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
-    stars = by_rep(by_rep(found.filter("a is not null").select("a", "b").distinct(), "a", "ra", "na"), "b", "rb", "nb")
-    stars = stage(compatible(stars), "stars")
+    stars = probed.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).filter("a != b").distinct()
+    stars = stage(compatible(by_rep(by_rep(stars, "a", "ra", "na"), "b", "rb", "nb")), "stars")
     links = _verify(stars, texts)
     again = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).filter("a < hi")
     repeated = of.join(again, "doc_id").select("a", F.col("rep").alias("b")).filter("a != b")
     links = links.union(repeated)
     joined = stage(components(links), "components")
 
-    # keys whose holders the stars have not brought together: pairs across components
-    holders = by_rep(found.filter("held_by is not null").select("held_by", "doc_id", "probes"), "doc_id", "r", "n")
-    holders = holders.groupBy("held_by", "r", "n").agg(F.max("probes").alias("probes"))
-    holders = holders.join(joined.withColumnRenamed("node", "r"), "r", "left").withColumn("component", F.coalesce("component", "r"))
-    apart = holders.groupBy("held_by").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    holders = stage(holders.join(apart.select("held_by"), "held_by"), "holders")
-    left, right = (
-        holders.select("held_by", F.col("r").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}"), F.col("probes").alias(f"p{s}"))
-        for s in "ab"
-    )
-    across = left.filter("pa").join(right, "held_by").filter("ca != cb")
+    # probes with further candidates that the stars have not brought together with their document
+    def placed(df: DataFrame, side: str) -> DataFrame:
+        mine = by_rep(df, "doc_id", "r", "n").join(joined.withColumnRenamed("node", "r"), "r", "left")
+        return mine.select("held", F.col("r").alias(f"r{side}"), F.col("n").alias(f"n{side}"), F.coalesce("component", "r").alias(f"c{side}")).distinct()
+
+    asking = placed(probed.filter("before > 1").select("held", "doc_id"), "a")
+    asked = placed(found.filter("indexed").join(probed.filter("before > 1").select("held").distinct(), "held").select("held", "doc_id"), "b")
+    lows = asking.select("held", F.col("ca").alias("c")).union(asked.select("held", F.col("cb").alias("c")))
+    apart = lows.groupBy("held").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("held")
+    across = stage(asking.join(apart, "held"), "asking").join(stage(asked.join(apart, "held"), "asked"), "held").filter("ca != cb")
     across = stage(compatible(across).join(stars, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         joined = stage(components(links.union(_verify(across, texts))), "components")
