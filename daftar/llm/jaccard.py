@@ -31,7 +31,8 @@ from daftar.llm.shingles import digest, mixed, shingle_set
 
 SHARE = 75  # sets link when 100 * intersection >= SHARE * union
 KEYS_PER_PART = 4_000_000
-CROWDED = 100  # up to this size a band has so many segments that elements rarely share one
+SINGLE = 315  # up to this size (the end of a band) every element is a segment of its own
+LONG = 1000  # in larger sets a shared passage is a small part, and fewer segments do
 _SEGMENT, _BAND, _SHORTER = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 # what a key is to its document: a segment it indexes and may probe, a segment of the band
 # below that it may probe, an entry of the index alone, a probe that it has to make
@@ -49,28 +50,32 @@ def bands(upto: int) -> list[int]:
 _LOWS = np.array(bands(1 << 40))
 
 
-def most_different(smaller: int) -> int:
-    """How many elements two linked sets can differ in, the smaller one having that size."""
-    largest = 100 * smaller // SHARE  # of the union
-    return largest * (100 - SHARE) // 100
+def most_different(size: int, band: int) -> int:
+    """How many elements a set of this size can differ in from a set of the band that it links with."""
+    largest = min(int(_LOWS[band + 1]) - 1, 100 * size // SHARE)
+    return (size + largest) * (100 - SHARE) // (100 + SHARE)
 
 
-def scheme(band: int) -> tuple[int, int]:
-    """H and the number of segments for pairs whose smaller set is in the band."""
+def segments(band: int) -> int:
+    """Segments of a band, 0 if each element is one: always more than the differences, so that dear ones can be left out."""
     high = int(_LOWS[band + 1]) - 1
-    differ = most_different(high)
-    return differ, 64 * high if high <= CROWDED else (differ + 1) * 7 // 5
+    if high <= SINGLE:
+        return 0
+    return 2 * (high // 3 + 1) if high <= LONG else (high // 3 + 1) * 7 // 5
 
 
 class Keys:
     """Keys of one set under one band's scheme."""
 
     def __init__(self, hashes: np.ndarray, band: int):
-        self.band, (self.differ, self.segments) = band, scheme(band)
+        self.band, self.differ, self.segments = band, most_different(len(hashes), band), segments(band)
         self.salt = np.uint64((self.band + 1) * int(_BAND) % (1 << 64))
         self.spread = mixed(hashes)
-        segment = ((hashes >> np.uint64(32)) * np.uint64(self.segments)) >> np.uint64(32)
-        self.starts = np.flatnonzero(np.diff(segment, prepend=np.uint64(1 << 63)))
+        if self.segments:
+            segment = ((hashes >> np.uint64(32)) * np.uint64(self.segments)) >> np.uint64(32)
+            self.starts = np.flatnonzero(np.diff(segment, prepend=np.uint64(1 << 63)))
+        else:
+            segment, self.starts = hashes, np.arange(len(hashes))
         self.filled = segment[self.starts]
         self.sizes = np.diff(self.starts, append=len(hashes))
         self.sums = np.add.reduceat(self.spread, self.starts)
@@ -129,25 +134,25 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str | None]]:
     return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
 
 
-SETS = "doc_id long, n long, digest binary, probes array<int>, loose array<int>, blank array<int>"
+SETS = "doc_id long, n long, digest binary, probes array<int>, filled array<int>, loose array<int>, blank array<int>"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Set sizes and digests; by scheme (own, below) how many probes are more than the set's
     segments (negative: fewer) and the bands for which deletions and empty segments are needed."""
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
     for batch in batches:
         rows = []
         for doc_id, text in _texts(batch):
             hashes = shingle_set(text)
             keys = schemes(hashes) if len(hashes) else []
             rows.append((
-                doc_id, len(hashes), digest(hashes) if len(hashes) else None, [k.differ + 1 - len(k.full) for k in keys],
+                doc_id, len(hashes), digest(hashes) if len(hashes) else None, [k.differ + 1 - len(k.full) for k in keys], [len(k.full) for k in keys],
                 [k.band for k in keys if k.missing], [k.band for k in keys if k.blank],
             ))
         columns = zip(*rows, strict=True) if rows else [[]] * len(types)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n", "digest", "probes", "loose", "blank"]
+            [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n", "digest", "probes", "filled", "loose", "blank"]
         )
 
 
@@ -244,22 +249,44 @@ _FOUND = pa.schema([
 ])
 
 
-def _probed(found: DataFrame, sets: DataFrame) -> DataFrame:
+def _with_alone(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds ``probes`` and ``alone``: how many of the document's segments nobody it could meet holds."""
+    known = sets.groupBy("doc_id").agg(
+        F.first("probes").alias("probes"), F.first("filled").alias("filled"), (F.min("digest") != F.max("digest")).alias("several")
+    )
+    shared = found.groupBy("doc_id", "use").agg(F.sum("n_keys").alias("shared"))
+    of = lambda c: F.coalesce(F.try_element_at(c, F.col("use") + 1), F.lit(0))
+    # an identifier with several texts probes all, and nothing is known to be alone
+    told = shared.join(known, "doc_id").select(
+        "doc_id", "use",
+        F.when(F.col("several"), F.lit(1)).otherwise(of("probes")).alias("probes"),
+        F.when(F.col("several") | (F.col("use") > BELOW), F.lit(0)).otherwise(F.greatest(of("filled") - F.col("shared"), F.lit(0))).alias("alone"),
+    )
+    return found.join(told, ["doc_id", "use"])
+
+
+def _probed(found: DataFrame) -> DataFrame:
     """The cost-based allocation: rows of ``found`` that their documents probe.
 
-    A document makes ``probes`` of its segments' number; segments nobody else holds come
-    first, then those with the fewest candidates. A document's rows are at most its keys. An
-    identifier with several texts probes all.
+    Segments nobody else holds come first, then those with the fewest candidates; a row is
+    left out if it and all dearer ones fit into what a document has more than it must probe.
+    The rows of a document are at most its keys.
     """
-    bare = F.coalesce(F.try_element_at("probes", F.col("use") + 1), F.lit(0))
-    known = sets.groupBy("doc_id").agg(F.first("probes").alias("probes"), (F.min("digest") != F.max("digest")).alias("several"))
-    rows = found.filter("before > 0").join(known, "doc_id")
-    by_doc = W.partitionBy("doc_id", "use")
-    dearer = by_doc.orderBy(F.desc("before"), F.desc("held")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    # probes needed = (probes - segments) + all shared segments; a row is needed unless it and
-    # the dearer ones together fit into what may be left out
-    spare = F.when(F.col("several"), 0).otherwise(-bare)
-    return rows.withColumn("dear", F.sum("n_keys").over(dearer)).filter((F.col("use") == MUST) | (F.col("dear") > spare)).drop("probes", "several", "dear")
+    dearer = W.partitionBy("doc_id", "use").orderBy(F.desc("before"), F.desc("held")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = found.filter("before > 0").withColumn("dear", F.sum("n_keys").over(dearer))
+    return rows.filter((F.col("use") == MUST) | (F.col("dear") > -F.col("probes"))).drop("dear")
+
+
+def _possible(df: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of representatives that can link, from rows with ra, na, la and rb, nb, lb.
+
+    l counts segments that the other side cannot hold. Each is a difference; where segments
+    are single elements those of both sides add up.
+    """
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    apart = F.when(small <= SINGLE, F.col("la") + F.col("lb")).otherwise(F.greatest("la", "lb"))
+    ok = (F.col("ra") != F.col("rb")) & (100 * small >= SHARE * large) & (apart * (100 + SHARE) <= (small + large) * (100 - SHARE))
+    return df.filter(ok).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,19 +347,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.sum("n_keys").alias("n_keys"), F.max("before").alias("before"), F.min("lead").alias("lead"), F.max("indexed").alias("indexed")
     )
     found = stage(found, "key-holders")
-    probed = stage(_probed(found, sets), "probes")
-
-    def by_rep(df: DataFrame, key: str, rep: str, n: str) -> DataFrame:
-        mine = of.select(F.col("doc_id").alias(key), F.col("rep").alias(rep), F.col("n").alias(n))
-        return df.join(mine, key)
-
-    def compatible(df: DataFrame) -> DataFrame:
-        """Distinct pairs a < b of representatives whose sizes allow a link."""
-        ok = (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= SHARE * F.greatest("na", "nb"))
-        return df.filter(ok).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-
-    stars = probed.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).filter("a != b").distinct()
-    stars = stage(compatible(by_rep(by_rep(stars, "a", "ra", "na"), "b", "rb", "nb")), "stars")
+    found = stage(_with_alone(found, sets), "key-holders-told")
+    probed = stage(_probed(found), "probes")
+
+    def by_rep(df: DataFrame, side: str, *more: str) -> DataFrame:
+        """Rows with ``doc_id`` and ``alone`` as their representatives ``r``, sizes ``n``, and the least alone ``l``."""
+        named = df.join(of, "doc_id").select(F.col("rep").alias(f"r{side}"), F.col("n").alias(f"n{side}"), F.col("alone").alias(f"l{side}"), *more)
+        return named.groupBy(f"r{side}", f"n{side}", *more).agg(F.min(f"l{side}").alias(f"l{side}"))
+
+    # a star around the smallest holder of the keys a document probes
+    alone = found.filter(F.col("use") == OWN).select(F.col("doc_id").alias("lead"), "alone").distinct()
+    leaders = probed.select("lead").distinct().join(alone, "lead", "left")
+    leaders = leaders.select("lead", F.col("lead").alias("doc_id"), F.coalesce("alone", F.lit(0)).alias("alone"))
+    leads = by_rep(probed.select("doc_id", "alone", "lead"), "a", "lead").join(by_rep(leaders, "b", "lead"), "lead")
+    stars = stage(_possible(leads), "stars")
     links = _verify(stars, texts)
     again = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).filter("a < hi")
     repeated = of.join(again, "doc_id").select("a", F.col("rep").alias("b")).filter("a != b")
@@ -341,15 +369,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # probes with further candidates that the stars have not brought together with their document
     def placed(df: DataFrame, side: str) -> DataFrame:
-        mine = by_rep(df, "doc_id", "r", "n").join(joined.withColumnRenamed("node", "r"), "r", "left")
-        return mine.select("held", F.col("r").alias(f"r{side}"), F.col("n").alias(f"n{side}"), F.coalesce("component", "r").alias(f"c{side}")).distinct()
-
-    asking = placed(probed.filter("before > 1").select("held", "doc_id"), "a")
-    asked = placed(found.filter("indexed").join(probed.filter("before > 1").select("held").distinct(), "held").select("held", "doc_id"), "b")
-    lows = asking.select("held", F.col("ca").alias("c")).union(asked.select("held", F.col("cb").alias("c")))
-    apart = lows.groupBy("held").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("held")
-    across = stage(asking.join(apart, "held"), "asking").join(stage(asked.join(apart, "held"), "asked"), "held").filter("ca != cb")
-    across = stage(compatible(across).join(stars, ["a", "b"], "left_anti"), "across")
+        mine = by_rep(df, side, "held").join(joined.select(F.col("node").alias(f"r{side}"), "component"), f"r{side}", "left")
+        return mine.withColumn(f"c{side}", F.coalesce("component", f"r{side}")).drop("component")
+
+    several = probed.filter("before > 1")
+    asking = stage(placed(several.select("held", "doc_id", "alone"), "a"), "asking")
+    asked = found.filter("indexed").join(several.select("held").distinct(), "held", "left_semi")
+    asked = stage(placed(asked.select("held", "doc_id", F.when(F.col("use") == OWN, F.col("alone")).otherwise(0).alias("alone")), "b"), "asked")
+    ends = asking.select("held", F.col("ca").alias("c")).union(asked.select("held", F.col("cb").alias("c")))
+    apart = ends.groupBy("held").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("held")
+    asking, asked = asking.join(apart, "held", "left_semi"), asked.join(apart, "held", "left_semi")
+    # of two documents that can link one has no more segments alone than its share of the
+    # differences, where the two numbers add up
+    few = lambda side: (F.col(f"n{side}") > SINGLE) | (F.col(f"l{side}") * (100 + SHARE) <= F.col(f"n{side}") * (100 - SHARE))
+    across = asking.filter(few("a")).join(asked, "held").union(asking.filter(~few("a")).join(asked.filter(few("b")), "held").select(
+        "held", *asking.drop("held").columns, *asked.drop("held").columns))
+    across = stage(_possible(across.filter("ca != cb")).join(stars, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         joined = stage(components(links.union(_verify(across, texts))), "components")
 

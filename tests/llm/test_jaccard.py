@@ -44,6 +44,23 @@ def test_against_all_pairs(spark, seed):
     assert answer(near_duplicates(df)) == brute.near_duplicates(docs)
 
 
+def test_long_sets_against_all_pairs(spark):
+    """Sets beyond the bands of single elements, with passages shared by unlike documents."""
+    rng, docs = random.Random(4), {}
+    passage = [f"p{i}" for i in range(300)]
+    for i in range(160):
+        if docs and rng.random() < 0.6:
+            words = rng.choice(list(docs.values())).split()
+            for _ in range(rng.randrange(25)):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        else:
+            words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([330, 500, 900, 1500]))]
+            words[100:100] = passage if rng.random() < 0.5 else []
+        docs[i] = " ".join(words)
+    df = spark.createDataFrame(list(docs.items()), SCHEMA).repartition(5)
+    assert answer(near_duplicates(df)) == brute.near_duplicates(docs)
+
+
 def test_given_documents(spark):
     path = "/root/testdata/sf0.001/documents.parquet"
     docs = dict(zip(*pq.read_table(path, columns=["doc_id", "text"]).to_pydict().values()))
@@ -55,12 +72,12 @@ def test_keys_meet_for_every_linked_pair():
     """Any two sets that link share a key that one probes and the other indexes, crowded sets included."""
     rng = np.random.default_rng(3)
     everything = set(range(60))
-    for _ in range(4000):
-        n = int(rng.integers(1, 40))
+    for _ in range(3000):
+        n = int(rng.integers(1, 40 if rng.random() < 0.5 else 1500))
         x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1))
         if rng.random() < 0.3:  # crowd the elements into few segments
-            x = np.unique(x >> np.uint64(rng.integers(1, 40)))
-        differ = most_different(len(x))
+            x = np.unique(x >> np.uint64(rng.integers(1, 30)))
+        differ = len(x) // 3
         drop = int(rng.integers(0, differ + 1))
         y = np.unique(np.concatenate([rng.permutation(x)[drop:], rng.integers(0, 1 << 63, differ - drop, dtype=np.uint64)]))
         both = len(np.intersect1d(x, y))
@@ -77,9 +94,9 @@ def test_keys_meet_for_every_linked_pair():
 
 
 def test_crowded_sets_need_deletions_and_blanks():
-    crowded = np.arange(1, 7, dtype=np.uint64)
-    keys = Keys(crowded, 4)
-    assert len(keys.full) == 1 and keys.missing == 2 and len(keys.loose) == 1 and keys.blank == 1
+    crowded = np.arange(1, 401, dtype=np.uint64)
+    keys = Keys(crowded, int(np.searchsorted(jaccard._LOWS, 400, "right")) - 1)
+    assert len(keys.full) == 1 and keys.missing == keys.differ and len(keys.loose) == 1 and keys.blank == keys.missing - 1
 
 
 def test_edge_cases(spark):
