@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.llm import jaccard, mixing, multi_index, pieces, secrets, topk, warc
+from daftar.llm import jaccard, mixing, multi_index, pieces, pii, secrets, topk, warc
 from daftar.llm.shared import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +143,8 @@ def top_k(spark, sf):
 @query("op7_multi_index")
 def multi_index_duplicates(spark, sf):
     return multi_index.near_duplicates(table(spark, sf, "embeddings"))
+
+
+@query("op8_pii")
+def personal_data(spark, sf):
+    return pii.find(table(spark, sf, "documents"))
