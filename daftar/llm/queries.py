@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.llm import jaccard, mixing, multi_index, pieces, pii, secrets, topk, warc
+from daftar.llm import jaccard, mixing, multi_index, pieces, pii, secrets, segments, topk, warc
 from daftar.llm.shared import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,3 +148,8 @@ def multi_index_duplicates(spark, sf):
 @query("op8_pii")
 def personal_data(spark, sf):
     return pii.find(table(spark, sf, "documents"))
+
+
+@query("op2_language")
+def language(spark, sf):
+    return segments.identify(table(spark, sf, "documents"), list(pieces.load(piece_model()).pieces))
