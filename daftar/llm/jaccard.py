@@ -394,3 +394,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
     )
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text, …) whose doc_id is the smallest of its component, all columns as they are.
+
+    Rows that share a doc_id count as one document, of which the least row by its columns'
+    order stays. Texts without words and rows with a null doc_id all stay.
+    """
+    marked = near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(
+        F.max("n_shingles").alias("n"), F.min("component_id").alias("component"), F.count("*").alias("rows")
+    )
+    heads = marked.filter("component = doc_id").select(F.col("doc_id").alias("id"), "n", "rows")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id")).join(heads, "id")
+    alone = (F.col("rows") == 1) | (F.col("n") == 0)
+    least = rows.filter(~alone).groupBy("id").agg(F.min("row").alias("row"))
+    nameless = docs.filter(F.col("doc_id").isNull()).select(F.struct("*").alias("row"))
+    return rows.filter(alone).select("row").union(least.select("row")).union(nameless).select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.llm import jaccard, mixing, multi_index, pieces, pii, secrets, segments, topk, warc
+from daftar.llm import jaccard, mixing, multi_index, pieces, pii, secrets, segments, topk, toxicity, warc
 from daftar.llm.shared import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,3 +153,8 @@ def personal_data(spark, sf):
 @query("op2_language")
 def language(spark, sf):
     return segments.identify(table(spark, sf, "documents"), list(pieces.load(piece_model()).pieces))
+
+
+@query("op1_toxicity")
+def toxic(spark, sf):
+    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
