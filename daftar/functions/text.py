@@ -41,6 +41,20 @@ def arabic_digits(c: Column | str) -> Column:
     return F.translate(as_col(c), P.ARABIC_INDIC_DIGITS + P.PERSIAN_DIGITS, "0123456789" * 2)
 
 
+def round_half_even(c: Column, places: int) -> Column:
+    """A double between 0 and 2 rounded on its exact binary value, ties to the even digit."""
+    # exact: scaling by a power of two, then integers and decimals only; smaller values are
+    # scaled further, so that all their bits above 2 ** -70 count
+    small = c < 2.0**-9
+    unit = F.when(small, F.lit(str(1 << 70))).otherwise(F.lit(str(1 << 62))).cast("decimal(22,0)")
+    bits = F.floor(c * F.when(small, 2.0**70).otherwise(2.0**62)).cast("decimal(20,0)")
+    scaled = bits * F.lit(10**places).cast("decimal(8,0)")
+    whole = F.call_function("div", scaled, unit)
+    rest = (scaled - whole.cast("decimal(8,0)") * unit) * 2
+    up = (rest > unit) | ((rest == unit) & (whole % 2 == 1))
+    return (whole + up.cast("int")) / 10.0**places
+
+
 def canonical_text(c: Column | str) -> Column:
     """Canonical invoice text: digits, bidi marks, spelling, currency, spaces."""
     # characters beyond the end of the target string are deleted by translate

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daftar.functions import patterns as P
+from daftar.functions.text import round_half_even
 
 NO_TEXT = "OCR produced no text lines"
 _SLICE = 4096
@@ -21,7 +22,7 @@ def _joined_text(lines: DataFrame, keys: list[str]) -> DataFrame:
             F.count("*").alias("_n"),
         )
     )
-    mean = F.round(F.sum("_c") / F.sum("_n"), 4)
+    mean = round_half_even(F.sum("_c") / F.sum("_n"), 4)
     return parts.groupBy(*keys).agg(
         F.array_join(F.sort_array(F.collect_list(F.struct("_s", "_t")))["_t"], "\n").alias("raw_text"),
         F.sum("_n").alias("n_lines"),
@@ -29,9 +30,21 @@ def _joined_text(lines: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def page_summary(lines: DataFrame) -> DataFrame:
-    """Text, line count and mean confidence of every page."""
-    return _joined_text(lines, ["doc_id", "page_no"])
+def _all_of(keys: DataFrame, found: DataFrame) -> DataFrame:
+    """A row per key; without lines the text is empty and the confidence 0.0."""
+    names = keys.columns
+    return keys.distinct().join(found, names, "left").select(
+        *names,
+        F.coalesce("raw_text", F.lit("")).alias("raw_text"),
+        F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+    )
+
+
+def page_summary(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Text, line count and mean confidence of every page; ``pages`` (doc_id, page_no) adds those without lines."""
+    found = _joined_text(lines, ["doc_id", "page_no"])
+    return found if pages is None else _all_of(pages.select("doc_id", "page_no"), found)
 
 
 def document_summary(lines: DataFrame, documents: DataFrame | None = None) -> DataFrame:
@@ -39,12 +52,7 @@ def document_summary(lines: DataFrame, documents: DataFrame | None = None) -> Da
     found = _joined_text(lines, ["doc_id"])
     if documents is None:
         return found
-    return documents.select("doc_id").distinct().join(found, "doc_id", "left").select(
-        "doc_id",
-        F.coalesce("raw_text", F.lit("")).alias("raw_text"),
-        F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
-        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-    )
+    return _all_of(documents.select("doc_id"), found)
 
 
 def document_markdown(lines: DataFrame) -> DataFrame:
@@ -65,7 +73,7 @@ def low_confidence_documents(summary: DataFrame, threshold: float = P.OCR_MIN_CO
 
 
 def _two_places(c: Column) -> Column:
-    return F.format_string("%.2f", c)
+    return F.format_string("%.2f", round_half_even(c, 2))
 
 
 def choose_ocr_pass(
@@ -102,7 +110,7 @@ def choose_ocr_pass(
     return both.select(
         "doc_id",
         better.alias("used_enhanced"),
-        F.round(F.when(better, F.col("enh")).otherwise(F.coalesce("std", F.lit(0.0))), 4).alias("confidence"),
+        round_half_even(F.when(better, F.col("enh")).otherwise(F.coalesce("std", F.lit(0.0))), 4).alias("confidence"),
         F.when(tried & ~better, message).alias("warning"),
     )
 

@@ -34,8 +34,10 @@ def inventory_rejects(purchase_invoices: DataFrame, lines: DataFrame) -> DataFra
     )
 
 
-def post_inventory(purchase_invoices: DataFrame, lines: DataFrame) -> DataFrame:
-    """Stock movements of all invoices whose every line can be posted."""
+def post_inventory(purchase_invoices: DataFrame, lines: DataFrame, posted: DataFrame | None = None) -> DataFrame:
+    """Stock movements of all invoices whose every line can be posted; those in ``posted`` (purchase_invoice_id) were before."""
+    if posted is not None:
+        purchase_invoices = not_yet_posted(purchase_invoices, posted)
     gate = posting_gate(lines).where("n_unmapped = 0 and n_bad_quantity = 0 and n_bad_total = 0")
     ready = purchase_invoices.select("purchase_invoice_id", "invoice_date").join(
         gate.select("purchase_invoice_id"), "purchase_invoice_id", "left_semi"
@@ -56,8 +58,10 @@ def accounting_ready() -> Column:
     return F.col("invoice_date").isNotNull() & filled("invoice_number") & F.coalesce(F.col("total") > 0, F.lit(False))
 
 
-def post_accounting(purchase_invoices: DataFrame) -> DataFrame:
-    """Journal lines, three per invoice; debits equal credits in every entry."""
+def post_accounting(purchase_invoices: DataFrame, posted: DataFrame | None = None) -> DataFrame:
+    """Journal lines, three per invoice; debits equal credits in every entry. Invoices in ``posted`` were entered before."""
+    if posted is not None:
+        purchase_invoices = not_yet_posted(purchase_invoices, posted)
     vat = F.coalesce("vat_amount", F.lit(0).cast(MONEY))
     amounts = [F.col("total") - vat, vat, F.col("total")]
     sides = F.array(

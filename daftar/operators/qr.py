@@ -34,8 +34,14 @@ def _records(data: Column, size: Column) -> Column:
 
 def decode_qr_table(payloads: DataFrame) -> DataFrame:
     """doc_id, payload to the five invoice fields; undecodable payloads give NULLs."""
-    # the decoder skips foreign characters, so they go before decoding
-    clean = payloads.select("doc_id", F.regexp_replace("payload", "[^A-Za-z0-9+/=]", "").alias("b64"))
+    # the decoder skips foreign characters and padding that completes nothing, and stops at
+    # the first padding that completes four characters
+    plain = F.regexp_replace("payload", "[^A-Za-z0-9+/=]", "")
+    upto = F.regexp_extract(plain, "^=*(?:[^=]=*[^=]=?[^=][^=]=*)*?[^=]=*[^=](?:==|=?[^=]=)", 0)
+    letters = F.replace(F.when(upto != "", upto).otherwise(plain), F.lit("="), F.lit(""))
+    # only characters that the padding completes, or whole groups of four
+    padded = F.when(upto != "", F.rpad(letters, F.ceil(F.length(letters) / 4).cast("int") * 4, F.lit("="))).otherwise(letters)
+    clean = payloads.select("doc_id", padded.alias("b64"))
     whole = F.length("b64") % 4 == 0
     data = clean.select("doc_id", F.hex(F.when(whole, F.try_to_binary("b64", F.lit("base64")))).alias("data"))
     tags = data.withColumn("size", F.length("data") / 2).select(

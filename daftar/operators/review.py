@@ -51,7 +51,15 @@ def review_view(uploads: DataFrame, extractions: DataFrame, lines: DataFrame) ->
 
 
 def _apply(df: DataFrame, patches: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    latest = patches.groupBy(F.col(key).alias("_key")).agg(F.max_by("fields", "patched_at").alias("_f"))
+    """Each field as its newest patch says. Equal times: the larger patch_id if there is one, else the larger value."""
+    tie = [F.col("patch_id")] if "patch_id" in patches.columns else []
+    single = patches.select(F.col(key).alias("_key"), "patched_at", *tie, F.explode("fields").alias("_name", "_value"))
+    # the value in a struct, so that a newest NULL counts
+    newest = single.where(F.col("_name").isin(*fields)).groupBy("_key", "_name").agg(
+        F.max_by(F.struct("_value"), F.struct("patched_at", *tie, "_value")).alias("_v")
+    )
+    # at most one entry per field that can be patched
+    latest = newest.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_name", "_v._value"))).alias("_f"))
     out = []
     for name in df.columns:
         if name in fields:
@@ -64,8 +72,10 @@ def _apply(df: DataFrame, patches: DataFrame, key: str, fields: dict[str, str])
 
 
 def apply_header_patch(extractions: DataFrame, patches: DataFrame) -> DataFrame:
-    """Patch headers; a key present with NULL clears the field, an absent key keeps it."""
-    return _apply(extractions, patches, "upload_id", HEADER_PATCH)
+    """Patch the newest extraction of each upload; a key present with NULL clears the field, an absent key keeps it."""
+    newest = latest_extraction(extractions).select("extraction_id", "upload_id")
+    targets = patches.join(newest, "upload_id")
+    return _apply(extractions, targets, "extraction_id", HEADER_PATCH)
 
 
 def apply_line_patch(lines: DataFrame, patches: DataFrame) -> DataFrame:

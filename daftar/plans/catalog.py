@@ -1027,19 +1027,23 @@ def view(spark, sf):
 
 @query(
     "apply_header_patch",
-    """{tt}{ex}{ul} SELECT extraction_id, CASE WHEN ul.status = 'OCR_FAILED' THEN '7' ELSE invoice_number END AS invoice_number,
-    CASE WHEN ul.status = 'OCR_FAILED' THEN NULL ELSE supplier_name END AS supplier_name,
-    CASE WHEN ul.status = 'OCR_FAILED' THEN 12.50 ELSE total END AS total, subtotal
-    FROM ex JOIN ul USING (upload_id)""",
+    """{tt}{ex}{ul} SELECT extraction_id, CASE WHEN hit THEN '7' ELSE invoice_number END AS invoice_number,
+    CASE WHEN hit THEN NULL ELSE supplier_name END AS supplier_name,
+    CASE WHEN hit THEN 12.50 ELSE total END AS total, subtotal
+    FROM (SELECT ex.*, ul.status = 'OCR_FAILED' AND row_number() OVER (PARTITION BY upload_id ORDER BY ex.created_at DESC, extraction_id) = 1 AS hit
+          FROM ex JOIN ul USING (upload_id))""",
 )
 def header_patched(spark, sf):
-    patch = D.uploads(spark, sf).where(F.col("status") == "OCR_FAILED").select(
-        "upload_id",
-        F.create_map(
-            F.lit("invoice_number"), F.lit("7"), F.lit("supplier_name"), F.lit(None).cast("string"), F.lit("total"), F.lit("12.5")
-        ).alias("fields"),
-        F.col("created_at").alias("patched_at"),
+    # three patches one after the other: a name set and cleared again, a total, a number
+    text = lambda v: F.lit(v).cast("string")
+    steps = F.array(
+        F.create_map(text("supplier_name"), text("x"), text("total"), text("1")),
+        F.create_map(text("supplier_name"), text(None), text("total"), text("12.5")),
+        F.create_map(text("invoice_number"), text("7")),
     )
+    patch = D.uploads(spark, sf).where(F.col("status") == "OCR_FAILED").select(
+        "upload_id", "created_at", F.posexplode(steps).alias("n", "fields")
+    ).select("upload_id", "fields", (F.col("created_at") + F.make_dt_interval(mins="n")).alias("patched_at"))
     return review.apply_header_patch(D.extractions(spark, sf), patch).select(
         "extraction_id", "invoice_number", "supplier_name", "total", "subtotal"
     )

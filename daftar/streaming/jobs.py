@@ -19,9 +19,11 @@ from daftar.sources.ocr import result_lines, scan_ocr_json
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder on the storage the cluster shares (spark.checkpoint.dir).
 
-    Only where that is not set, as in tests, a local one is made.
+    Only a local session, as in tests, may leave it unset; it then gets a local folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to storage that driver and executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="daftar-")
     return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
@@ -31,11 +33,12 @@ def stream_documents(spark: SparkSession, source: str, target: str, checkpoint:
     """New OCR JSON files to extractions, lines and verdicts.
 
     Documents are independent of each other but for duplicates, which are looked for
-    among the stored extractions and the batch itself. Each micro-batch owns one
+    among the stored extractions and the batch itself. Documents without text get a header
+    with every warning; results that cannot be read go to ``rejects``. Each micro-batch owns one
     ``batch=`` folder per table and overwrites it, so a batch that is run again after a
     failure leaves the same result.
     """
-    tables = {name: f"{target.rstrip('/')}/{name}" for name in ("extractions", "lines", "verdicts")}
+    tables = {name: f"{target.rstrip('/')}/{name}" for name in ("extractions", "lines", "verdicts", "rejects")}
 
     def store(df: DataFrame, name: str, batch_id: int) -> DataFrame:
         path = f"{tables[name]}/batch={batch_id}"
@@ -49,8 +52,10 @@ def stream_documents(spark: SparkSession, source: str, target: str, checkpoint:
         return stored.where(F.col("batch") < batch_id).drop("batch")
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        lines = result_lines(batch.where(F.col("doc_id").isNotNull()))
-        found = extract_invoices(lines, F.current_timestamp(), mode)
+        rejected = batch.where(F.col("doc_id").isNull() | F.col("_corrupt_record").isNotNull())
+        store(rejected.select(F.coalesce("_corrupt_record", F.to_json(F.struct("pages"))).alias("raw")), "rejects", batch_id)
+        good = batch.where(F.col("doc_id").isNotNull() & F.col("_corrupt_record").isNull())
+        found = extract_invoices(result_lines(good), F.current_timestamp(), mode, documents=good)
         new = store(found.extractions, "extractions", batch_id)
         new_lines = store(found.lines, "lines", batch_id)
         # of the stored extractions only those with a number of this batch matter

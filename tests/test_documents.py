@@ -154,3 +154,45 @@ def test_uploads(spark, tmp_path):
     assert [r.upload_id for r in left.collect()] == ["f"] and [r.upload_id for r in unknown.collect()] == ["zz"]
     write_table(files, str(tmp_path), "uploads")
     assert read_table(spark, str(tmp_path), "uploads").count() == 7
+
+
+def test_lines_of_several_pages_count_through(spark):
+    df = spark.createDataFrame(
+        [("a", 2, ["p2a", "p2b\nmore"], [0.5, 0.25], []), ("a", 1, ["p1a", "p1b"], [], []), ("a", 3, ["p3a"], [], [])],
+        "doc_id string, page_no int, rec_texts array<string>, rec_scores array<double>, dt_polys array<array<array<double>>>",
+    )
+    got = sorted((r.line_no, r.page_no, r.text, r.y1) for r in flatten_ocr_result(df).collect())
+    assert got == [(0, 1, "p1a", 0.0), (1, 1, "p1b", 30.0), (2, 2, "p2a", 0.0), (3, 2, "p2b", 30.0), (4, 2, "more", 30.0), (5, 3, "p3a", 0.0)]
+
+
+def test_empty_pages_and_rounding(spark):
+    lines = spark.createDataFrame([("a", 1, 0, "x", 0.03125), ("b", 1, 0, "x", 0.125), ("b", 1, 1, "y", 0.375)], "doc_id string, page_no int, line_no int, text string, confidence double")
+    pages = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "doc_id string, page_no int")
+    got = sorted((r.doc_id, r.page_no, r.raw_text, r.n_lines, r.confidence) for r in page_summary(lines, pages).collect())
+    assert got == [("a", 1, "x", 1, round(0.03125, 4)), ("a", 2, "", 0, 0.0), ("b", 1, "x\ny", 2, 0.25)]
+    docs = spark.createDataFrame([("a", "hybrid")], "doc_id string, engine string")
+    half = lines.where("doc_id = 'b'").withColumn("doc_id", F.lit("a")).where("line_no = 0")
+    warning = choose_ocr_pass(docs, half, half).first().warning
+    assert warning == f"Enhanced fallback did not improve confidence ({0.125:.2f} vs {0.125:.2f})"
+
+
+def test_rounding_follows_the_binary_value(spark):
+    import random
+
+    from daftar.functions.text import round_half_even
+
+    rng = random.Random(1)
+    values = [rng.random() for _ in range(3000)] + [k / 2**n for n in range(1, 12) for k in range(1, 2**n, 7)] + [k / 20000 for k in range(1, 20000, 37)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", round_half_even(F.col("v"), 4).alias("r4"), round_half_even(F.col("v"), 2).alias("r2")).collect()
+    assert all(r.r4 == round(r.v, 4) and r.r2 == round(r.v, 2) for r in rows)
+
+
+@pytest.mark.parametrize("payload", ["AQJhYg===", "AQJhYg==AAAA", "AQJh=Yg==", "A=QJhYg==", "AQJhYg=x=", "AQJhYg", "AQJhYmM=zz", "=AQJhYmM="])
+def test_reading_ends_at_the_first_complete_padding(spark, payload):
+    try:
+        raw = base64.b64decode(payload)
+        want = raw[2 : 2 + raw[1]].decode() if len(raw) >= 2 and len(raw) >= 2 + raw[1] else None
+    except ValueError:
+        want = None
+    got = decode_qr_table(spark.createDataFrame([("d", payload)], "doc_id string, payload string")).first()
+    assert got.seller_name == want

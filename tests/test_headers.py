@@ -101,3 +101,12 @@ def test_by_keywords(as_lines, size):
     assert amounts(amount_by_keywords(as_lines(split), [r"المجموع\s*الفرعي"], size=size)) == {"m": 86.96}
     twice = {"t": ["الإجمالي SAR 43.47", "Subtotal", "الإجمالي SAR 100.00"]}
     assert amounts(amount_by_keywords(as_lines(twice), ["الإجمالي"], prefer_last=True, size=size)) == {"t": 100.0}
+
+
+def test_document_without_lines_gets_a_header(spark, as_lines):
+    docs = spark.createDataFrame([("full",), ("empty",)], "doc_id string")
+    got = {r.doc_id: r for r in extract_headers(as_lines({"full": ["Invoice No: 12"]}), documents=docs).collect()}
+    assert len(got) == 2 and got["empty"].confidence == 0 and got["empty"].currency == "SAR"
+    assert got["empty"].warnings == [
+        "Invoice number not detected", "Invoice date not detected", "Total amount not detected", "Supplier VAT number not detected",
+    ]

@@ -214,3 +214,27 @@ def test_stock(spark):
     assert [(r.movement_date.day, r.balance, r.balance_cost) for r in rollups.stock_balance(moves).orderBy("movement_date").collect()] == [
         (1, D("3.000"), D("9.00")), (3, D("4.000"), D("10.00")),
     ]
+
+
+def test_patches_add_up_and_meet_the_newest_extraction(spark):
+    ex = spark.createDataFrame(
+        [("old", "u", at(1), "A", "1"), ("new", "u", at(2), "B", "2")],
+        "extraction_id string, upload_id string, created_at timestamp, supplier_name string, invoice_number string",
+    )
+    patches = spark.createDataFrame(
+        [("u", {"supplier_name": "C"}, at(3)), ("u", {"invoice_number": "9"}, at(4)), ("u", {"supplier_name": None}, at(5))],
+        "upload_id string, fields map<string,string>, patched_at timestamp",
+    )
+    got = {r.extraction_id: (r.supplier_name, r.invoice_number) for r in review.apply_header_patch(ex, patches).collect()}
+    assert got == {"old": ("A", "1"), "new": (None, "9")}
+
+
+def test_nothing_is_posted_twice(spark):
+    from daftar.operators.posting import post_accounting
+
+    pi = spark.createDataFrame(
+        [("p1", at(1).date(), "1", "10.00", None), ("p2", at(1).date(), "2", "10.00", None)],
+        "purchase_invoice_id string, invoice_date date, invoice_number string, total string, vat_amount string",
+    ).selectExpr("purchase_invoice_id", "invoice_date", "invoice_number", "cast(total as decimal(12,2)) total", "cast(vat_amount as decimal(12,2)) vat_amount")
+    done = spark.createDataFrame([("p1",)], "purchase_invoice_id string")
+    assert {r.purchase_invoice_id for r in post_accounting(pi, done).collect()} == {"p2"}
