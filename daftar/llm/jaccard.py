@@ -289,34 +289,43 @@ def _possible(df: DataFrame) -> DataFrame:
     return df.filter(ok).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with both texts: those that link."""
-    recent: dict[str, np.ndarray] = {}
+PAIRS_PER_BLOCK = 2000
 
-    def sets(text: str) -> np.ndarray:
-        if text not in recent:
-            if len(recent) > 64:
-                recent.clear()
-            recent[text] = shingle_set(text)
-        return recent[text]
 
-    for batch in batches:
-        keep = []
-        for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = sets(s), sets(t)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= SHARE * (len(x) + len(y) - both))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def _linked(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    """Of one block of pairs those that link; every text of the block becomes a set once."""
+    sets: dict[int, list[np.ndarray]] = {}
+    for doc_id, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist(), strict=True):
+        sets.setdefault(doc_id, []).append(shingle_set(text))
+
+    def link(x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= SHARE * (len(x) + len(y) - both) and both > 0
+
+    keep = [
+        any(link(x, y) for x in sets.get(a, ()) for y in sets.get(b, ()))
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)
+    ]
+    return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of representatives that link, checked on whole texts."""
+    """Pairs (a, b) of representatives that link, checked on whole texts.
+
+    Pairs are cut into blocks by both identifiers, so a text goes once to each block that
+    needs it, however many pairs it is in.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = stage(texts.join(ids, "doc_id", "left_semi"), "pair-texts")
-    side = lambda key, text: wanted.select(F.col("doc_id").alias(key), F.col("text").alias(text))
-    full = pairs.join(side("a", "s"), "a").join(side("b", "t"), "b").select("a", "b", "s", "t")
-    links = stage(full.mapInArrow(_linked, "a long, b long"), "links")
+    wanted = stage(texts.join(ids, "doc_id", "left_semi").distinct(), "pair-texts")
+    side = int((pairs.count() / PAIRS_PER_BLOCK) ** 0.5) + 1
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+    cut = pairs.select("a", "b", block("a").alias("i"), block("b").alias("j"))
+    needs = cut.select(F.col("i").alias("k"), F.col("j").alias("l"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    full = stage(needs.join(wanted, "doc_id").select("k", "l", "doc_id", "text"), "block-texts")
+    links = cut.groupBy("i", "j").cogroup(full.groupBy("k", "l")).applyInArrow(_linked, "a long, b long")
+    links = stage(links, "links")
     drop_staged(wanted)
+    drop_staged(full)
     return links.distinct()
 
 
@@ -376,14 +385,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     asking = stage(placed(several.select("held", "doc_id", "alone"), "a"), "asking")
     asked = found.filter("indexed").join(several.select("held").distinct(), "held", "left_semi")
     asked = stage(placed(asked.select("held", "doc_id", F.when(F.col("use") == OWN, F.col("alone")).otherwise(0).alias("alone")), "b"), "asked")
-    ends = asking.select("held", F.col("ca").alias("c")).union(asked.select("held", F.col("cb").alias("c")))
-    apart = ends.groupBy("held").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("held")
-    asking, asked = asking.join(apart, "held", "left_semi"), asked.join(apart, "held", "left_semi")
+    ends = asking.select("held", F.col("ca").alias("c")).union(asked.select("held", F.col("cb").alias("c"))).groupBy("held", "c").count()
+    apart = ends.groupBy("held").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    apart = stage(apart, "keys-apart")
+    asking, asked = stage(asking.join(apart, "held"), "asking-apart"), stage(asked.join(apart.withColumnRenamed("main", "of_main"), "held"), "asked-apart")
     # of two documents that can link one has no more segments alone than its share of the
     # differences, where the two numbers add up
     few = lambda side: (F.col(f"n{side}") > SINGLE) | (F.col(f"l{side}") * (100 + SHARE) <= F.col(f"n{side}") * (100 - SHARE))
-    across = asking.filter(few("a")).join(asked, "held").union(asking.filter(~few("a")).join(asked.filter(few("b")), "held").select(
-        "held", *asking.drop("held").columns, *asked.drop("held").columns))
+    # most holders of a key are in its main component; only those outside meet all others
+    outside = F.col("cb") != F.col("of_main")
+    ways = [
+        (F.col("ca") != F.col("main"), few("a"), F.lit(True)), (F.col("ca") != F.col("main"), ~few("a"), few("b")),
+        (F.col("ca") == F.col("main"), few("a"), outside), (F.col("ca") == F.col("main"), ~few("a"), outside & few("b")),
+    ]
+    met = [asking.filter(where & which).join(asked.filter(others), "held").select("ra", "na", "la", "ca", "rb", "nb", "lb", "cb") for where, which, others in ways]
+    across = met[0].union(met[1]).union(met[2]).union(met[3])
     across = stage(_possible(across.filter("ca != cb")).join(stars, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         joined = stage(components(links.union(_verify(across, texts))), "components")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,5 +48,13 @@ def drop_staged(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Hand texts to Python in batches of few rows, so that memory follows row size, not table size."""
+    """Hand texts to Python in batches of few rows, so that memory follows row size, not table size.
+
+    Python workers also get this package's folder on their path; a cluster that does not
+    have it there ships the package with the job.
+    """
+    home = str(Path(__file__).resolve().parents[2])
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [home, path]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
