@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,11 +34,18 @@ CHECKS: dict[str, str] = {}
 SHORT = {"split": False}
 
 
+def _even4(value: str) -> str:
+    """SQL that rounds a double on its exact binary value to four places, ties to the even digit."""
+    scaled, unit = f"(CAST(({value}) * 4611686018427387904.0::DOUBLE AS HUGEINT) * 10000)", "4611686018427387904::HUGEINT"
+    whole, rest = f"({scaled} // {unit})", f"(({scaled} % {unit}) * 2)"
+    return f"(CAST({whole} + CAST({rest} > {unit} OR ({rest} = {unit} AND {whole} % 2 = 1) AS HUGEINT) AS DOUBLE) / 10000)"
+
+
 def query(name: str, sql: str | None = None):
     def register(fn: Query) -> Query:
         QUERIES[name] = lambda spark, sf: fn(configure(spark), sf)
         if sql is not None:
-            CHECKS[name] = _with_bases(sql)
+            CHECKS[name] = _with_bases(re.sub("<even4:(.*?)>", lambda m: _even4(m[1]), sql, flags=re.S))
         return fn
 
     return register
@@ -411,7 +419,7 @@ def _order_docs(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "page_summary",
     """{it} SELECT CAST(k AS VARCHAR) AS doc_id, CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END AS page_no,
-    string_agg(name, chr(10) ORDER BY i) AS raw_text, CAST(count(*) AS BIGINT) AS n_lines, round(avg(q / 64.0::DOUBLE), 4) AS confidence
+    string_agg(name, chr(10) ORDER BY i) AS raw_text, CAST(count(*) AS BIGINT) AS n_lines, <even4:avg(q / 64.0::DOUBLE)> AS confidence
     FROM it GROUP BY 1, 2""",
 )
 def pages(spark, sf):
@@ -421,7 +429,7 @@ def pages(spark, sf):
 @query(
     "document_summary",
     """{it} SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, coalesce(string_agg(name, chr(10) ORDER BY i), '') AS raw_text,
-    CAST(count(name) AS BIGINT) AS n_lines, coalesce(round(avg(q / 64.0::DOUBLE), 4), 0) AS confidence
+    CAST(count(name) AS BIGINT) AS n_lines, coalesce(<even4:avg(q / 64.0::DOUBLE)>, 0) AS confidence
     FROM orders LEFT JOIN it ON k = o_orderkey GROUP BY 1""",
 )
 def documents(spark, sf):
@@ -478,7 +486,7 @@ _BASES["ps"] = _PASSES.rstrip() + ",\n"
 @query(
     "choose_ocr_pass",
     """{it}{ps} SELECT doc_id, better AS used_enhanced,
-    round(CASE WHEN better THEN enh ELSE coalesce(std, 0) END, 4) AS confidence,
+    <even4:CASE WHEN better THEN enh ELSE coalesce(std, 0) END> AS confidence,
     tried AND NOT better AS warned FROM ps""",
 )
 def chosen_pass(spark, sf):
@@ -1210,7 +1218,7 @@ def stuck(spark, sf):
 
 @query(
     "low_confidence_documents",
-    """{it} SELECT CAST(k AS VARCHAR) AS doc_id, round(avg(q / 64.0::DOUBLE), 4) AS confidence FROM it GROUP BY 1 HAVING round(avg(q / 64.0::DOUBLE), 4) < 0.4""",
+    """{it} SELECT CAST(k AS VARCHAR) AS doc_id, <even4:avg(q / 64.0::DOUBLE)> AS confidence FROM it GROUP BY 1 HAVING <even4:avg(q / 64.0::DOUBLE)> < 0.4""",
 )
 def low_confidence(spark, sf):
     summary = assemble.document_summary(_scored_lines(spark, sf))

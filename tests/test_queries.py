@@ -3,10 +3,10 @@
 import pytest
 from check_queries import compare, connect
 
-from __spark_entry__ import SMOKE_DIR, entry, oracle_sql, queries
+from __spark_entry__ import SMOKE_DIR, entry
 from daftar.plans import tables as D
 from daftar.operators.mapping import map_fuzzy
-from daftar.plans.catalog import _names
+from daftar.plans.catalog import CHECKS, QUERIES, _names
 
 
 @pytest.fixture(scope="module")
@@ -14,9 +14,9 @@ def con():
     return connect(SMOKE_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert compare(queries()[name](spark, SMOKE_DIR), con, oracle_sql()[name]) is None
+    assert compare(QUERIES[name](spark, SMOKE_DIR), con, CHECKS[name]) is None
 
 
 def test_entry(spark):
@@ -27,17 +27,17 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_joins(spark, name):
     if name.startswith("stream_") or name in ("scan_ocr_json", "write_tables"):
         pytest.skip("runs while it is built")
-    text = plan(queries()[name](spark, SMOKE_DIR))
+    text = plan(QUERIES[name](spark, SMOKE_DIR))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "Python" not in text and "Pandas" not in text
 
 
 def test_headers_exchange_lines_once(spark):
-    text = plan(queries()["extract_headers"](spark, SMOKE_DIR))
+    text = plan(QUERIES["extract_headers"](spark, SMOKE_DIR))
     # orders/lineitem make the input; lines themselves are grouped by document only once
     assert text.count("Exchange hashpartitioning(doc_id") == 1
 
