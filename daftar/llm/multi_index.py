@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daftar.llm.components import components
-from daftar.llm.shared import small_batches, stage
+from daftar.llm.shared import bounded_sample, small_batches, stage
 from daftar.llm.vectors import usable
 
 LEAST = 0.95
@@ -182,7 +182,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, recall: float = RE
     sizes = {r.n // 8: r["count"] for r in reps.groupBy(F.length("v").alias("n")).count().collect()}
     grids = {}
     for n, count in sizes.items():
-        raw = reps.filter(F.length("v") == n * 8).orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").toArrow().column(0).to_pylist()
+        raw = bounded_sample(reps.filter(F.length("v") == n * 8).select("v"), SAMPLE, "v").toArrow().column(0).to_pylist()
         grids[n] = fit(_unit(raw), count, least, recall) if n > 1 else Grid(np.zeros((1, 0)), np.zeros((1, 1)), 1)
     placed = stage(reps.mapInArrow(_place(grids), PLACED), "placed-vectors")
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from daftar.llm.shared import small_batches, stage
+from daftar.llm.shared import bounded_sample, small_batches, stage
 from daftar.llm.vectors import by_length, usable
 
 SCALE = 256
@@ -163,7 +163,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     small_batches(spark, 2000)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asks"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    sample = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).toArrow()
+    sample = bounded_sample(rows.select("vec_id", "v"), PIVOT_SAMPLE, "vec_id").toArrow()
     pivots = {}
     if sample.num_rows:
         for _, x in by_length(sample.column(0).combine_chunks(), sample.column(1).combine_chunks()):
