@@ -137,7 +137,8 @@ def _compare(least: float):
         # the inner vector counts the visitor here only if it does not visit the visitor's cell itself
         offsets = group.column("visited").chunk(0).offsets.to_numpy()
         cells = group.column("visited").chunk(0).values.to_numpy()
-        width = int(offsets[1] - offsets[0])
+        # rows come in any order, and visitors carry no cells; all inner vectors of a cell visit equally many
+        width = int(offsets[inside[0] + 1] - offsets[inside[0]])
         sees = (cells[(offsets[v][:, None] + np.arange(width))] == home[u][:, None]).any(axis=1)
         names, place = np.unique(ids, return_inverse=True)
         pu, pv = place[u], place[v]

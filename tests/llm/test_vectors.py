@@ -1,5 +1,6 @@
 import brute
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 from daftar.llm import multi_index, topk
@@ -39,6 +40,25 @@ def test_near_duplicate_vectors(spark):
     assert multi_index.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_pairs_count_once_in_any_row_order():
+    # two vectors at home in cells 5 and 9, both visiting both: each pair meets twice
+    raw = [np.array([1.0, 0.01 * i]).tobytes() for i in range(4)]
+    home, times = [5, 9, 5, 9], [1, 2, 3, 1]
+    rows = [(i, times[i], raw[i], home[i], [home[i], 14 - home[i]], False) for i in range(4)]
+    names = ["id", "times", "v", "home", "visited", "visitor"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
+    rng = np.random.default_rng(4)
+    for turn in range(20):
+        total = dict.fromkeys(range(4), 0)
+        for cell in (5, 9):
+            group = [r for r in rows if r[3] == cell] + [(*r[:4], [], True) for r in rows]
+            order = rng.permutation(len(group)) if turn else range(len(group))[::-1]
+            table = pa.table([pa.array(c, t) for c, t in zip(zip(*[group[i] for i in order], strict=True), types, strict=True)], names=names)
+            for r in multi_index._compare(0.95)(table).to_pylist():
+                total[r["id"]] += r["links"]
+        assert total == {i: sum(times) - times[i] for i in range(4)}, turn
+
+
 def test_recall_on_given_vectors(spark):
     path = "/root/testdata/sf0.1/embeddings.parquet"
     t = pq.read_table(path)
