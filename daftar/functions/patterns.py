@@ -42,6 +42,7 @@ BIDI_MARKS = "\u200F\u200E\u202A\u202B\u202C\uFEFF"
 SPELLING_FIXES = [("إجمالى", "إجمالي"), ("ضريبه", "ضريبة"), ("فاتوره", "فاتورة")]
 CURRENCY_MARKS = r"ر\.س|ريال|﷼"
 CURRENCY_COLON = r"SAR\s*:"
+CURRENCY_AT_END = r"SAR\s*$"
 PUNCTUATION_FROM = "،٫"
 PUNCTUATION_TO = ",."
 

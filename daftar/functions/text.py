@@ -73,6 +73,12 @@ def canonical_text(c: Column | str) -> Column:
     return trim_all(out)
 
 
+def ends_with_currency(c: Column | str) -> Column:
+    """Whether a colon that comes next would belong to a currency mark (``P.CURRENCY_COLON``)."""
+    marked = F.regexp_replace(F.translate(as_col(c), P.BIDI_MARKS, ""), P.CURRENCY_MARKS, "SAR")
+    return matches(marked, P.CURRENCY_AT_END, "i")
+
+
 def single_line(c: Column | str) -> Column:
     return F.translate(canonical_text(c), "\n", " ")
 

@@ -6,6 +6,9 @@ than one chunk is asked once, by a job that reads only the line numbers: if it h
 none, which is normal for invoices, a chunk is a document and all neighbour handling
 stays out of the plan. Otherwise every chunk gets context, the last lines before it and
 the first lines after it, from a slim table of chunk edges.
+
+A currency mark takes in a colon after it even across lines, which makes one line of the
+two. Where a chunk border lies between them, the line goes to the chunk it begins in.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from daftar.functions.text import ends_with_currency
+
 CHUNK = 4096
 EDGE = 12  # lines of context on either side; the longest reach of any rule is below this
 
@@ -38,6 +43,59 @@ def _gather(lines: DataFrame, size: int) -> DataFrame:
     )
 
 
+def _mends(chunks: DataFrame) -> DataFrame:
+    """Lines that run over a chunk border: doc_id, chunk, headless, rest.
+
+    ``headless`` chunks lose their first line to an earlier one, and ``rest`` continues the
+    last line of a chunk. A chunk that is one such line passes on what follows it.
+    """
+    by_chunk = W.partitionBy("doc_id").orderBy("chunk")
+    first = F.col("first")
+    ends = (
+        chunks.where(F.size("core") > 0)
+        .select("doc_id", "chunk", "open", F.get("core", F.lit(0)).alias("first"), (F.size("core") == 1).alias("single"))
+        .withColumn(
+            "moved",
+            F.when(
+                first.startswith(":") & F.coalesce(F.lag("open").over(by_chunk), F.lit(False)),
+                F.substring(first, 2, 1 << 30),
+            ),
+        )
+    )
+    passes_on = F.col("single") & F.col("moved").isNotNull()
+    ends = ends.select(
+        "doc_id",
+        "chunk",
+        "moved",
+        (passes_on & F.lead("moved").over(by_chunk).isNotNull()).alias("goes_on"),
+        F.last(F.when(~passes_on, F.col("chunk")), ignorenulls=True)
+        .over(by_chunk.rowsBetween(W.unboundedPreceding, -1))
+        .alias("owner"),
+    ).where(F.col("moved").isNotNull())
+    piece = F.when(F.col("goes_on"), _marked(F.col("moved"))).otherwise(F.col("moved"))
+    rests = ends.groupBy("doc_id", F.col("owner").alias("chunk")).agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("chunk", piece.alias("piece"))))["piece"], "").alias("rest")
+    )
+    return ends.select("doc_id", "chunk", F.lit(True).alias("headless")).join(rests, ["doc_id", "chunk"], "full")
+
+
+def _marked(line: Column) -> Column:
+    """A line that ends with a currency mark, the mark written as it is before a colon."""
+    return F.concat(F.left(line, F.length(line) - 3), F.lit("SAR"))
+
+
+def _mended(chunks: DataFrame, mends: DataFrame) -> DataFrame:
+    own = F.when(F.col("headless"), F.slice("core", F.lit(2), F.size("core"))).otherwise(F.col("core"))
+    n = F.size("_own")
+    last = F.concat(_marked(F.get("_own", n - 1)), F.col("rest"))
+    whole = F.concat(F.slice("_own", F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(last))
+    return (
+        chunks.join(mends, ["doc_id", "chunk"], "left")
+        .withColumn("_own", own)
+        .select("doc_id", "chunk", F.when(F.col("rest").isNotNull(), whole).otherwise(F.col("_own")).alias("core"))
+    )
+
+
 def document_chunks(
     lines: DataFrame,
     to_lines: Callable[[Column], Column],
@@ -46,8 +104,8 @@ def document_chunks(
 ) -> DataFrame:
     """Chunks with context: doc_id, chunk, before, core, after, first_pos, n_lines.
 
-    ``to_lines`` turns the array of raw texts of one chunk into the array of lines the
-    rules work on (dropping empty ones). ``first_pos`` is the position of the chunk's
+    ``to_lines`` turns the array of raw texts of one chunk into the array of canonical lines
+    the rules work on (dropping empty ones). ``first_pos`` is the position of the chunk's
     first such line in the document and ``n_lines`` the document's number of them.
     ``split`` says whether there are documents longer than a chunk; None finds out.
     """
@@ -65,10 +123,12 @@ def document_chunks(
             F.size("core").alias("n_lines"),
         )
 
-    core = _gather(lines, size).select("doc_id", "chunk", to_lines(F.col("raw")).alias("core"))
+    def chunks(some: DataFrame, *more: Column) -> DataFrame:
+        return _gather(some, size).select("doc_id", "chunk", to_lines(F.col("raw")).alias("core"), *more)
 
     spread = lines.join(long_documents(lines, size), "doc_id", "left_semi")
-    edges = _gather(spread, size).select("doc_id", "chunk", to_lines(F.col("raw")).alias("core"))
+    mends = _mends(chunks(spread, ends_with_currency(F.array_join("raw", "\n")).alias("open")))
+    core, edges = (_mended(chunks(some), mends) for some in (lines, spread))
     edges = edges.where(F.size("core") > 0).select(
         "doc_id",
         "chunk",

@@ -21,6 +21,15 @@ def line_amounts(lines: DataFrame) -> DataFrame:
     return lines.withColumn("amount", line_amount(canonical_text("text")))
 
 
+def document_amounts(lines: DataFrame, size: int = CHUNK, split: bool | None = None) -> DataFrame:
+    """doc_id, position, amount: the SAR amounts of documents whose text is made canonical as a whole."""
+    chunks = document_chunks(lines, header_lines, size, split)
+    read = chunks.select("doc_id", "first_pos", F.posexplode("core").alias("pos", "text"))
+    return read.select(
+        "doc_id", (F.col("first_pos") + F.col("pos")).cast("int").alias("position"), line_amount(F.col("text")).alias("amount")
+    )
+
+
 def _facts(lines: DataFrame, keyword: str, exclude: list[str], size: int, split: bool | None) -> DataFrame:
     def facts(x: Column) -> Column:
         stop = matches_any(x, exclude) if exclude else F.lit(False)

@@ -15,11 +15,12 @@ from daftar.operators.keyword_amounts import (
     amount_by_keywords,
     amount_near_keyword,
     amount_near_keyword_strict,
+    document_amounts,
     line_amounts,
 )
 from daftar.plans import pipeline
 from daftar.plans import tables as D
-from daftar.plans.rendered import order_items, order_totals, positioned_invoices, table, text_invoices
+from daftar.plans.rendered import order_items, order_totals, positioned_invoices, statements, table, text_invoices
 from daftar.session import configure
 from daftar.sources import ocr
 from daftar.sources import uploads as up
@@ -30,9 +31,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
-# rendered invoices have 8 lines and 3 per item: far below one chunk
-SHORT = {"split": False}
-
 
 def _even4(value: str) -> str:
     """SQL that rounds a double on its exact binary value to four places, ties to the even digit."""
@@ -663,7 +661,7 @@ FROM tt
 
 
 def _headers(spark, sf):
-    return headers.extract_headers(text_invoices(spark, sf), **SHORT)
+    return headers.extract_headers(text_invoices(spark, sf))
 
 
 @query("extract_headers", "{tt}" + _HEADERS)
@@ -680,9 +678,18 @@ def amounts_by_line(spark, sf):
     return line_amounts(text_invoices(spark, sf)).select("doc_id", "line_no", "amount")
 
 
+@query(
+    "long_document_amounts",
+    """{it} SELECT CAST(k // 1000 AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY k // 1000 ORDER BY k, i) AS INTEGER) AS position,
+    CAST(amount AS DECIMAL(20,2)) AS amount FROM it UNION ALL SELECT DISTINCT CAST(k // 1000 AS VARCHAR), 0, NULL::DECIMAL(20,2) FROM it""",
+)
+def amounts_of_long_documents(spark, sf):
+    return document_amounts(statements(spark, sf))
+
+
 @query("amount_near_keyword", "{tt} SELECT CAST(k AS VARCHAR) AS doc_id, CAST(v AS DECIMAL(20,2)) AS amount FROM tt")
 def near_keyword(spark, sf):
-    return amount_near_keyword(text_invoices(spark, sf), P.LOOSE_VAT, **SHORT)
+    return amount_near_keyword(text_invoices(spark, sf), P.LOOSE_VAT)
 
 
 @query(
@@ -692,13 +699,13 @@ def near_keyword(spark, sf):
 )
 def near_keyword_strict(spark, sf):
     return amount_near_keyword_strict(
-        text_invoices(spark, sf), P.COLUMN_TITLES, 1, 3, exclude=[r"الإجمالي|total"], prefer_arabic=True, **SHORT
+        text_invoices(spark, sf), P.COLUMN_TITLES, 1, 3, exclude=[r"الإجمالي|total"], prefer_arabic=True
     )
 
 
 @query("amount_by_keywords", "{tt} SELECT CAST(k AS VARCHAR) AS doc_id, CAST(t AS DECIMAL(20,2)) AS amount FROM tt")
 def by_keywords(spark, sf):
-    return amount_by_keywords(text_invoices(spark, sf), P.TOTAL_LABELS, P.NOT_A_TOTAL, prefer_last=True, **SHORT)
+    return amount_by_keywords(text_invoices(spark, sf), P.TOTAL_LABELS, P.NOT_A_TOTAL, prefer_last=True)
 
 
 @query(
@@ -738,7 +745,7 @@ def histogram(spark, sf):
     CAST(0.85 AS DECIMAL(5,2)) AS confidence, FALSE AS needs_review FROM it""",
 )
 def text_items(spark, sf):
-    return items_text.items_from_text(text_invoices(spark, sf), **SHORT).drop("unit")
+    return items_text.items_from_text(text_invoices(spark, sf)).drop("unit")
 
 
 @query(
@@ -794,7 +801,7 @@ def all_items(spark, sf):
         F.lit(50.0).alias("x1"), (F.col("line_no") * 30.0).alias("y1"), F.lit(500.0).alias("x2"), (F.col("line_no") * 30.0 + 20).alias("y2"),
     )
     cells = positioned_invoices(spark, sf).withColumn("doc_id", F.concat(F.lit("p"), "doc_id"))
-    items = items_layout.extract_line_items(texts.unionByName(cells), "geometry_first", **SHORT)
+    items = items_layout.extract_line_items(texts.unionByName(cells), "geometry_first")
     return items.select("doc_id", "raw_name", "quantity", "unit_price", "line_total", "confidence")
 
 
@@ -912,7 +919,7 @@ def post_gate(spark, sf):
 def end_to_end(spark, sf):
     lines = text_invoices(spark, sf)
     stamp = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
-    return pipeline.extract_and_validate(lines, stamp, **SHORT).select("extraction_id", "n_errors", "n_warnings", "status")
+    return pipeline.extract_and_validate(lines, stamp).select("extraction_id", "n_errors", "n_warnings", "status")
 
 
 # -- 2.7 mapping -----------------------------------------------------------------------

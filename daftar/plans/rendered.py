@@ -140,6 +140,29 @@ def text_invoices(spark: SparkSession, sf: str) -> DataFrame:
     return frame.unionByName(body)
 
 
+def statements(spark: SparkSession, sf: str) -> DataFrame:
+    """Long documents, one per 1,000 order keys: a title, then two lines per item.
+
+    The first ends with the currency mark, the second begins with the colon, so that every
+    border after an even number of lines lies between the two.
+    """
+    items = order_items(spark, sf)
+    doc = F.floor(F.col("order_key") / 1000)
+    # at most 1,000 rows per document
+    earlier = W.partitionBy("doc").orderBy("order_key").rowsBetween(W.unboundedPreceding, -1)
+    starts = items.groupBy("order_key").agg(F.count("*").alias("n")).withColumn("doc", doc).select(
+        "order_key", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")
+    )
+    at = F.col("start") + F.col("item_no")
+    parts = F.array(
+        F.struct((2 * at - 1).cast("int").alias("line_no"), F.concat("name", F.lit(" SAR")).alias("text")),
+        F.struct((2 * at).cast("int").alias("line_no"), F.concat(F.lit(": "), F.col("amount").cast("string")).alias("text")),
+    )
+    body = items.join(starts, "order_key").select(doc.alias("doc"), F.explode(parts).alias("l")).select("doc", "l.*")
+    titles = items.select(doc.alias("doc")).distinct().select("doc", F.lit(0).alias("line_no"), F.lit("Statement").alias("text"))
+    return titles.unionByName(body).select(F.col("doc").cast("string").alias("doc_id"), "line_no", "text")
+
+
 def positioned_invoices(spark: SparkSession, sf: str) -> DataFrame:
     """The same orders as table cells with boxes and confidences, without SAR marks.
 

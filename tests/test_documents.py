@@ -15,6 +15,9 @@ from daftar.operators.assemble import (
     page_summary,
     select_ocr_pass,
 )
+from daftar.operators.chunks import document_chunks
+from daftar.operators.headers import extract_headers, header_lines
+from daftar.operators.keyword_amounts import amount_by_keywords
 from daftar.operators.qr import decode_qr_table
 from daftar.sources.ocr import flatten_legacy_result, flatten_ocr_result, rejected_results, result_lines, scan_ocr_json
 from daftar.sources.tables import read_table, write_table
@@ -196,3 +199,31 @@ def test_reading_ends_at_the_first_complete_padding(spark, payload):
         want = None
     got = decode_qr_table(spark.createDataFrame([("d", payload)], "doc_id string, payload string")).first()
     assert got.seller_name == want
+
+
+BORDERS = {
+    "plain": ["a", "الإجمالي SAR", ": 5.00", "b"],
+    "blank": ["", "Total sar ", "", " ", "", ": 7.00 ", "VAT SAR:", ": 1.00"],
+    "marks": ["ر.س", "\u200f: 3.00", "x ريال", ":", ": 4.00"],
+    "chain": ["VAT SAR", ": SAR", ":sar", ": 2.00", ":SAR", ": 9.00", "c", "SAR"],
+    "colon": [": 1.00", "SAR", "", "", "", "", "d"],
+}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4])
+def test_currency_runs_over_chunk_borders(as_lines, size):
+    lines = as_lines(BORDERS)
+
+    def read(split):
+        chunks = document_chunks(lines, header_lines, size, split).orderBy("chunk").collect()
+        return {d: [t for c in chunks if c.doc_id == d for t in c.core] for d in BORDERS}, chunks
+
+    (whole, _), (parts, chunks) = read(False), read(True)
+    assert parts == whole and whole["plain"] == ["a", "الإجمالي SAR 5.00", "b"]
+    for c in chunks:
+        at, all_ = c.first_pos, whole[c.doc_id]
+        if c.core:
+            assert c.n_lines == len(all_) and all_[at : at + len(c.core)] == c.core
+            assert c.before == all_[max(0, at - 12) : at] and c.after == all_[at + len(c.core) :][:12]
+    for job in (extract_headers, lambda *a, **k: amount_by_keywords(*a, ["الإجمالي|total|vat"], **k)):
+        assert sorted(job(lines, size=size, split=True).collect()) == sorted(job(lines, split=False).collect())
