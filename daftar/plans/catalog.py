@@ -670,6 +670,32 @@ def header_rows(spark, sf):
     return h.withColumn("warnings", F.array_join("warnings", "; ")).select(headers.HEADER_FIELDS)
 
 
+@query(
+    "extract_headers_every_order",
+    """SELECT CAST(k AS VARCHAR) AS doc_id, CASE WHEN seen AND k % 7 <> 0 THEN CAST(k AS VARCHAR) END AS invoice_number,
+  CAST(NULL AS VARCHAR) AS order_number,
+  CASE WHEN seen AND k % 13 <> 0 THEN '3' || lpad(CAST(ck AS VARCHAR), 13, '0') || '3' END AS supplier_vat_number,
+  CASE WHEN seen THEN CAST(od AS DATE) END AS invoice_date,
+  CASE WHEN seen THEN 'Trader ' || translate(lpad(CAST(ck AS VARCHAR), CAST(greatest(3, length(CAST(ck AS VARCHAR))) AS INTEGER), '0'), '0123456789', 'ABCDEFGHIJ') END AS supplier_name,
+  'SAR' AS currency, CASE WHEN seen THEN s END AS subtotal, CASE WHEN seen THEN v END AS vat_amount, CASE WHEN seen THEN t END AS total,
+  CAST(CASE WHEN seen THEN least(1, ((k % 7 <> 0)::INT + (k % 13 <> 0)::INT + 1 + (s <> 0)::INT + (t <> 0)::INT) / 4) ELSE 0 END AS DECIMAL(5,2)) AS confidence,
+  concat_ws('; ', CASE WHEN NOT seen OR k % 7 = 0 THEN 'Invoice number not detected' END,
+            CASE WHEN NOT seen THEN 'Invoice date not detected' END,
+            CASE WHEN NOT seen OR t = 0 THEN 'Total amount not detected' END,
+            CASE WHEN NOT seen OR k % 13 = 0 THEN 'Supplier VAT number not detected' END) AS warnings
+FROM (
+  SELECT *, n > 0 OR k % 2 <> 0 AS seen, CAST(s + v + CASE WHEN k % 11 = 0 THEN 5 ELSE 0 END AS DECIMAL(12,2)) AS t
+  FROM (SELECT *, CAST(round(s * CAST(0.15 AS DECIMAL(3,2)), 2) AS DECIMAL(12,2)) AS v
+        FROM (SELECT o_orderkey AS k, o_custkey AS ck, o_orderdate AS od, count(l_orderkey) AS n,
+                     CAST(coalesce(sum(CAST(l_extendedprice AS DECIMAL(12,2))), 0) AS DECIMAL(12,2)) AS s
+              FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)))""",
+)
+def header_rows_of_every_order(spark, sf):
+    sheets = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"))
+    h = headers.extract_headers(text_invoices(spark, sf, every=True), documents=sheets)
+    return h.withColumn("warnings", F.array_join("warnings", "; ")).select(headers.HEADER_FIELDS)
+
+
 @query(
     "line_amounts",
     r"""{it}{tt}{tx} SELECT doc_id, line_no, CAST(CASE WHEN text LIKE '%SAR %' THEN split_part(text, 'SAR ', 2) END AS DECIMAL(20,2)) AS amount FROM tx""",

@@ -1,8 +1,8 @@
 """Invoices rendered from the order tables, the corpus the registered queries run on.
 
 The given tables hold no invoices, so every order with lines becomes one: a header
-block, its items, and a totals block, as OCR text lines. The layout changes with the
-order key (nothing is filtered out), so that each rule meets its special cases while
+block, its items, and a totals block, as OCR text lines. Orders without lines are rendered
+only where a query asks for every order. The layout changes with the order key, so that each rule meets its special cases while
 the expected outcome stays a plain expression over ``orders`` and ``lineitem``:
 
 * key % 5 = 0: all digits Arabic-Indic
@@ -53,8 +53,11 @@ def order_items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def order_totals(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per rendered order with the amounts printed on it."""
+def order_totals(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    """One row per rendered order with the amounts printed on it.
+
+    Orders without lines are left out, or, with ``every``, have no items and amounts of zero.
+    """
     sums = (
         table(spark, sf, "lineitem")
         .groupBy(F.col("l_orderkey").alias("order_key"))
@@ -69,7 +72,9 @@ def order_totals(spark: SparkSession, sf: str) -> DataFrame:
     # merged, not broadcast: the order table then comes out in as many parts as there are
     # cores, and rendering its lines is spread over all of them
     return (
-        orders.join(sums.hint("merge"), "order_key")
+        orders.join(sums.hint("merge"), "order_key", "left" if every else "inner")
+        .withColumn("subtotal", F.coalesce("subtotal", F.lit(0).cast(MONEY)))
+        .withColumn("n_items", F.coalesce("n_items", F.lit(0)))
         .withColumn("vat", F.round(F.col("subtotal") * F.lit("0.15").cast("decimal(3,2)"), 2).cast(MONEY))
         .withColumn("true_total", (F.col("subtotal") + F.col("vat")).cast(MONEY))
         .withColumn(
@@ -104,16 +109,23 @@ def _emit(df: DataFrame, lines: list[Column]) -> DataFrame:
     )
 
 
-def text_invoices(spark: SparkSession, sf: str) -> DataFrame:
-    """OCR text lines of all rendered invoices: doc_id, page_no, line_no, text."""
+def text_invoices(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    """OCR text lines of all rendered invoices: doc_id, page_no, line_no, text.
+
+    With ``every``, also of orders without items; of these, even keys are blank sheets
+    without any line.
+    """
     key = F.col("order_key")
     money = lambda c: F.col(c).cast("string")
     number = F.col("o_custkey").cast("string")
     number = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
     trader = F.translate(number, DIGITS, "ABCDEFGHIJ")
     foot = F.lit(FIRST_ITEM) + F.col("n_items") * ITEM_SLOT
+    orders = order_totals(spark, sf)
+    if every:
+        orders = order_totals(spark, sf, every).where((F.col("n_items") > 0) | (key % 2 != 0))
     frame = _emit(
-        order_totals(spark, sf),
+        orders,
         [
             _line(F.lit(0), F.concat(F.lit("Supplier: Trader "), trader)),
             _line(F.lit(1), F.concat(F.lit("الرقم الضريبي "), F.col("vat_number")), key % 13 != 0),

@@ -23,6 +23,11 @@ def test_entry(spark):
     assert entry(spark).count() == 1473
 
 
+def test_every_order_has_a_header(spark, con):
+    n, empty = con.sql("SELECT count(*), count(*) FILTER (o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) FROM orders").fetchall()[0]
+    assert empty > 0 and QUERIES["extract_headers_every_order"](spark, SMOKE_DIR).count() == n
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
