@@ -29,16 +29,16 @@ WINDOW, STEP = 32, 16  # words
 WORD_DIM, TRIPLE_DIM, HIDDEN = 12, 8, 8
 VOCABULARY, LEAST_DOCS = 20_000, 4
 TRIPLES = 1 << 13
-LETTERS = 24  # of a word that its triples are taken from, first and last halves of longer words
+LETTERS = 24  # of a word; longer runs of letters, as without spaces between words, are several words
 ROUNDS, BATCH, RATE = 10, 64, 0.01
 REMEMBERED = 200_000  # words kept per worker
 AT_ONCE = 2048  # windows scored together
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}")
 
 
 def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed letter triples of words with marks for both ends, and how many each word has."""
-    marked = [f"\x02{w if len(w) <= LETTERS else w[: LETTERS // 2] + w[-LETTERS // 2 :]}\x03" for w in words]
+    marked = [f"\x02{w}\x03" for w in words]
     sizes = np.array([len(w) for w in marked])
     codes = np.zeros((len(words), LETTERS + 2), dtype=np.int64)
     flat = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)

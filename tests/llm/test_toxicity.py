@@ -87,3 +87,11 @@ def test_edge_cases(spark, tables, model):
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got) and {r.score for r in got if r.doc_id in (1, 2, 3)} == {0.0}
     assert toxicity.score(df.limit(0), tables[1], model).collect() == []
     assert {r.score for r in toxicity.score(df, tables[1].filter("toxic = 0")).collect()} == {0.0}
+
+
+def test_every_letter_of_a_long_run_is_read():
+    run = "".join(map(chr, range(0x4E00, 0x4E00 + 100)))
+    words = toxicity.WORDS.findall(f"a {run} b")
+    assert "".join(words[1:-1]) == run and max(map(len, words)) == toxicity.LETTERS
+    other = toxicity.WORDS.findall(f"a {run[:50]}x{run[51:]} b")
+    assert (toxicity.triples(words)[0] != toxicity.triples(other)[0]).any()
