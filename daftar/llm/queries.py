@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.llm import jaccard, mixing, multi_index, pieces, pii, secrets, segments, topk, toxicity, warc
+from daftar.llm import jaccard, licenses, mixing, multi_index, pieces, pii, secrets, segments, topk, toxicity, warc
 from daftar.llm.shared import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +158,8 @@ def language(spark, sf):
 @query("op1_toxicity")
 def toxic(spark, sf):
     return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op12_license_templates", licenses.find_sql())
+def license_templates(spark, sf):
+    return licenses.find(table(spark, sf, "documents"))
