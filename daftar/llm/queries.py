@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.llm import jaccard, licenses, mixing, multi_index, pieces, pii, secrets, segments, topk, toxicity, warc
+from daftar.llm import conversations, jaccard, licenses, mixing, multi_index, pieces, pii, secrets, segments, topk, toxicity, warc
 from daftar.llm.shared import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +163,9 @@ def toxic(spark, sf):
 @query("op12_license_templates", licenses.find_sql())
 def license_templates(spark, sf):
     return licenses.find(table(spark, sf, "documents"))
+
+
+@query("op13_conversation_repair", conversations.REPAIR_SQL)
+def conversation_repair(spark, sf):
+    rows = conversations.damaged(table(spark, sf, "conversations"))
+    return conversations.repair(rows, F.col("gone"))
