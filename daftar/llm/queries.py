@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.llm import conversations, jaccard, licenses, mixing, multi_index, pieces, pii, secrets, segments, topk, toxicity, warc
+from daftar.llm import conversations, hard_negatives, jaccard, licenses, mixing, multi_index, pieces, pii, secrets, segments, topk, toxicity, warc
 from daftar.llm.shared import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,3 +169,9 @@ def license_templates(spark, sf):
 def conversation_repair(spark, sf):
     rows = conversations.damaged(table(spark, sf, "conversations"))
     return conversations.repair(rows, F.col("gone"))
+
+
+@query("op11_hard_negatives", hard_negatives.MINE_SQL)
+def mined_negatives(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf, "embeddings"), label, F.col("vec_id") % 100 == 0)
