@@ -106,7 +106,7 @@ def vertical(
 
     ``matters(lower, upper, alive)`` gives a bitmap from the bounds of the candidates left.
     """
-    order = np.argsort(-np.abs(q.astype(np.float64)), kind="stable")
+    order = np.argsort(-np.abs(q), kind="stable")
     low, high = np.minimum(q * least, q * most)[order], np.maximum(q * least, q * most)[order]
     zero = np.zeros(1, dtype=low.dtype)
     rest_low = np.concatenate([np.cumsum(low[::-1])[::-1], zero])
