@@ -11,8 +11,11 @@ shares. A set whose elements crowd into too few segments takes v = 1 on some, wh
 answered by one-deletion neighbourhoods on both sides. All candidates are verified exactly.
 
 Only connectivity is asked for, so a probed key gives a star around its smallest holder.
-Where a key's holders are still in different components after the stars were verified, the
-pairs across components follow, so no link between components is lost.
+Where a key's holders are still in different components after the stars were verified, these
+documents form families (reachable through such keys). A family is cut into blocks; a pair of
+blocks compares the documents that share a probed key and lie in different components, joins
+their components at the first link, and gives out the links that span them. So no pair becomes a
+row, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -313,22 +316,140 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of representatives that link, checked on whole texts.
 
     Pairs are cut into blocks by both identifiers, so a text goes once to each block that
-    needs it, however many pairs it is in.
+    needs it, however many pairs it is in. A block with more pairs (those of one star meet in a
+    row of blocks) is cut further by pair.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     wanted = stage(texts.join(ids, "doc_id", "left_semi").distinct(), "pair-texts")
     side = int((pairs.count() / PAIRS_PER_BLOCK) ** 0.5) + 1
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
     cut = pairs.select("a", "b", block("a").alias("i"), block("b").alias("j"))
-    needs = cut.select(F.col("i").alias("k"), F.col("j").alias("l"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = stage(needs.join(wanted, "doc_id").select("k", "l", "doc_id", "text"), "block-texts")
-    links = cut.groupBy("i", "j").cogroup(full.groupBy("k", "l")).applyInArrow(_linked, "a long, b long")
+    crowds = cut.groupBy("i", "j").agg(F.ceil(F.count("*") / (2 * PAIRS_PER_BLOCK)).cast("int").alias("crowd"))
+    cut = cut.join(crowds, ["i", "j"]).select("a", "b", "i", "j", F.pmod(F.xxhash64("a", "b"), F.col("crowd")).cast("int").alias("s"))
+    needs = cut.select(F.col("i").alias("k"), F.col("j").alias("l"), F.col("s").alias("t"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    full = stage(needs.join(wanted, "doc_id").select("k", "l", "t", "doc_id", "text"), "block-texts")
+    links = cut.groupBy("i", "j", "s").cogroup(full.groupBy("k", "l", "t")).applyInArrow(_linked, "a long, b long")
     links = stage(links, "links")
     drop_staged(wanted)
     drop_staged(full)
     return links.distinct()
 
 
+ELEMENTS = 1_000_000  # of the sets on either side of a pair of blocks
+PACKED_SET = "doc_id long, hashes binary"
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = [shingle_set(text).tobytes() for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], names=["doc_id", "hashes"])
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of some ranges, one range after the other."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+class _Holders:
+    """Rows of a block by the keys they hold."""
+
+    def __init__(self, rows: pa.ChunkedArray):
+        rows = rows.combine_chunks()
+        n = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        key, row = rows.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
+        order = np.argsort(key, kind="stable")
+        self.key, self.row = key[order], row[order]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        first = np.searchsorted(self.key, keys, "left")
+        return self.row[_ranges(first, np.searchsorted(self.key, keys, "right") - first)]
+
+
+def _span(group: pa.Table) -> pa.Table:
+    """Of one pair of blocks: links (a, b) that join components of left documents with others.
+
+    A left document and another are compared if one probes a key that the other indexes and
+    no link has joined their components yet. Sets are kept once, as places in a common
+    vocabulary; the intersections of a left set with all it has to meet are counted together.
+    """
+    ids, component, left, in_main = (group.column(c).to_numpy() for c in ("r", "component", "left", "in_main"))
+    raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hashes")]
+    size = np.array([len(x) for x in raw], dtype=np.int64)
+    _, flat = np.unique(np.concatenate(raw), return_inverse=True)
+    flat, start = flat.astype(np.int32), np.cumsum(size) - size
+    del raw
+    asks, asked = (group.column(c) for c in ("asks", "asked"))
+    right = np.flatnonzero(~left)
+    asking, indexing = _Holders(asks.filter(pa.array(~left))), _Holders(asked.filter(pa.array(~left)))
+    mark = np.zeros(int(flat.max()) + 1, dtype=bool)
+    names, own = np.unique(component, return_inverse=True)
+    parent = np.arange(len(names))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out: list[tuple[int, int]] = []
+    keys = lambda c, a: np.array(c[a].as_py() or [], dtype=np.int64)
+    for a in np.flatnonzero(left).tolist():
+        others = right[np.unique(np.concatenate([indexing.of(keys(asks, a)), asking.of(keys(asked, a))]))]
+        least, most = np.minimum(size[others], size[a]), np.maximum(size[others], size[a])
+        # two documents outside the main component meet twice, from either side
+        once = in_main[others] | (ids[others] > ids[a])
+        others = others[(component[others] != component[a]) & (100 * least >= SHARE * most) & once]
+        if not len(others):
+            continue
+        mine = flat[start[a] : start[a] + size[a]]
+        mark[mine] = True
+        both = np.add.reduceat(mark[flat[_ranges(start[others], size[others])]], np.cumsum(size[others]) - size[others], dtype=np.int64)
+        mark[mine] = False
+        for b in others[100 * both >= SHARE * (size[a] + size[others] - both)].tolist():
+            x, y = root(int(own[a])), root(int(own[b]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(ids[a]), int(ids[b])))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def _across(asking: DataFrame, asked: DataFrame, of: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links that span components, from rows (doc_id, held) of documents that probe and that index a key."""
+
+    def named(df: DataFrame, probes: bool) -> DataFrame:
+        rows = df.join(of, "doc_id").select(F.col("rep").alias("r"), "held", F.lit(probes).alias("probes")).distinct()
+        return rows.join(joined.withColumnRenamed("node", "r"), "r", "left").withColumn("component", F.coalesce("component", "r"))
+
+    rows = stage(named(asking, True).union(named(asked, False)), "key-components")
+    apart = rows.groupBy("held").agg(F.min("r").alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("probes").alias("x"), F.max("probes").alias("y"))
+    apart = apart.filter("lo < hi and x != y").select("held", "hub")
+    rows, before = stage(rows.join(apart, "held"), "keys-apart"), rows
+    drop_staged(before)
+    members = rows.groupBy("r", "component").agg(*[F.collect_list(F.when(F.col("probes") == p, F.col("held"))).alias(c) for p, c in ((True, "asks"), (False, "asked"))])
+    reach = components(rows.select(F.col("hub").alias("a"), F.col("r").alias("b")).distinct())
+    mine = texts.join(members.select(F.col("r").alias("doc_id")), "doc_id", "left_semi")
+    # a representative with several texts holds all; each text is compared by itself
+    sets = mine.mapInArrow(_sets, PACKED_SET).select(F.col("doc_id").alias("r"), "hashes").distinct()
+    docs = members.join(reach.select(F.col("node").alias("r"), F.col("component").alias("family")), "r").join(sets, "r")
+    families = docs = stage(docs.withColumn("n", F.length("hashes") / 8), "families")
+    drop_staged(rows)
+    # all but a family's largest component meet all of the family
+    parts = docs.groupBy("family", "component").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+    plan = parts.groupBy("family").agg(F.max_by("component", F.struct("docs", "component")).alias("main"), F.sum("n").alias("n"), F.max_by("n", F.struct("docs", "component")).alias("of_main"))
+    blocks = lambda n: F.ceil(n / ELEMENTS).cast("int")
+    plan = plan.select("family", "main", blocks(F.col("n")).alias("rights"), blocks(F.col("n") - F.col("of_main")).alias("lefts")).filter("lefts > 0")
+    docs = docs.join(plan, "family")
+    own = lambda n: F.pmod(F.xxhash64("r", "hashes"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["family", "i", "j", "r", "component", "asks", "asked", "hashes", "left", (F.col("component") == F.col("main")).alias("in_main")]
+    left = docs.filter("component != main").withColumn("i", own("lefts")).withColumn("j", each("rights")).withColumn("left", F.lit(True))
+    right = docs.withColumn("j", own("rights")).withColumn("i", each("lefts")).withColumn("left", F.lit(False))
+    links = left.select(*columns).union(right.select(*columns)).groupBy("family", "i", "j").applyInArrow(_span, "a long, b long")
+    links = stage(links, "spanning-links")
+    drop_staged(families)
+    return links
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``doc_id``, ``n_shingles``, ``component_id``.
 
@@ -356,8 +477,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.sum("n_keys").alias("n_keys"), F.max("before").alias("before"), F.min("lead").alias("lead"), F.max("indexed").alias("indexed")
     )
     found = stage(found, "key-holders")
-    found = stage(_with_alone(found, sets), "key-holders-told")
-    probed = stage(_probed(found), "probes")
+    told = stage(_with_alone(found, sets), "key-holders-told")
+    drop_staged(found)
+    found, probed = told, stage(_probed(told), "probes")
 
     def by_rep(df: DataFrame, side: str, *more: str) -> DataFrame:
         """Rows with ``doc_id`` and ``alone`` as their representatives ``r``, sizes ``n``, and the least alone ``l``."""
@@ -371,38 +493,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leads = by_rep(probed.select("doc_id", "alone", "lead"), "a", "lead").join(by_rep(leaders, "b", "lead"), "lead")
     stars = stage(_possible(leads), "stars")
     links = _verify(stars, texts)
+    drop_staged(stars)
     again = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).filter("a < hi")
     repeated = of.join(again, "doc_id").select("a", F.col("rep").alias("b")).filter("a != b")
     links = links.union(repeated)
     joined = stage(components(links), "components")
 
     # probes with further candidates that the stars have not brought together with their document
-    def placed(df: DataFrame, side: str) -> DataFrame:
-        mine = by_rep(df, side, "held").join(joined.select(F.col("node").alias(f"r{side}"), "component"), f"r{side}", "left")
-        return mine.withColumn(f"c{side}", F.coalesce("component", f"r{side}")).drop("component")
-
-    several = probed.filter("before > 1")
-    asking = stage(placed(several.select("held", "doc_id", "alone"), "a"), "asking")
-    asked = found.filter("indexed").join(several.select("held").distinct(), "held", "left_semi")
-    asked = stage(placed(asked.select("held", "doc_id", F.when(F.col("use") == OWN, F.col("alone")).otherwise(0).alias("alone")), "b"), "asked")
-    ends = asking.select("held", F.col("ca").alias("c")).union(asked.select("held", F.col("cb").alias("c"))).groupBy("held", "c").count()
-    apart = ends.groupBy("held").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    apart = stage(apart, "keys-apart")
-    asking, asked = stage(asking.join(apart, "held"), "asking-apart"), stage(asked.join(apart.withColumnRenamed("main", "of_main"), "held"), "asked-apart")
-    # of two documents that can link one has no more segments alone than its share of the
-    # differences, where the two numbers add up
-    few = lambda side: (F.col(f"n{side}") > SINGLE) | (F.col(f"l{side}") * (100 + SHARE) <= F.col(f"n{side}") * (100 - SHARE))
-    # most holders of a key are in its main component; only those outside meet all others
-    outside = F.col("cb") != F.col("of_main")
-    ways = [
-        (F.col("ca") != F.col("main"), few("a"), F.lit(True)), (F.col("ca") != F.col("main"), ~few("a"), few("b")),
-        (F.col("ca") == F.col("main"), few("a"), outside), (F.col("ca") == F.col("main"), ~few("a"), outside & few("b")),
-    ]
-    met = [asking.filter(where & which).join(asked.filter(others), "held").select("ra", "na", "la", "ca", "rb", "nb", "lb", "cb") for where, which, others in ways]
-    across = met[0].union(met[1]).union(met[2]).union(met[3])
-    across = stage(_possible(across.filter("ca != cb")).join(stars, ["a", "b"], "left_anti"), "across")
+    several = probed.filter("before > 1").select("doc_id", "held")
+    asked = found.filter("indexed").join(several.select("held").distinct(), "held", "left_semi").select("doc_id", "held")
+    across = _across(several, asked, of, joined, texts)
+    drop_staged(found)
+    drop_staged(probed)
     if not across.isEmpty():
-        joined = stage(components(links.union(_verify(across, texts))), "components")
+        drop_staged(joined)
+        joined = stage(components(links.union(across)), "components")
+    drop_staged(of)
 
     out = (
         sets.join(heads, "digest", "left")

@@ -136,3 +136,22 @@ def test_parts_do_not_change_the_result(spark, monkeypatch):
     docs = families(9, 150)
     monkeypatch.setattr(jaccard, "KEYS_PER_PART", 500)
     assert answer(near_duplicates(spark.createDataFrame(list(docs.items()), SCHEMA))) == brute.near_duplicates(docs)
+
+
+def test_near_copies_in_several_components(spark, monkeypatch):
+    """2,000 copies of one text, each edited by itself, some too much for most others; blocks of few documents."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(60)]
+    docs = {}
+    for i in range(2000):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 1, 2, 2, 3])):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(300)}"
+        docs[i] = " ".join(words)
+    want = brute.near_duplicates(docs)
+    assert len({c for _, c in want.values()}) > 20
+    df = spark.createDataFrame(list(docs.items()), SCHEMA).repartition(6)
+    assert answer(near_duplicates(df)) == want
+    monkeypatch.setattr(jaccard, "ELEMENTS", 9_000)
+    monkeypatch.setattr(jaccard, "PAIRS_PER_BLOCK", 50)
+    assert answer(near_duplicates(df)) == want
