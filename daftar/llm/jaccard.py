@@ -319,20 +319,17 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     needs it, however many pairs it is in. A block with more pairs (those of one star meet in a
     row of blocks) is cut further by pair.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = stage(texts.join(ids, "doc_id", "left_semi").distinct(), "pair-texts")
     side = int((pairs.count() / PAIRS_PER_BLOCK) ** 0.5) + 1
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
-    cut = pairs.select("a", "b", block("a").alias("i"), block("b").alias("j"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+    cut = pairs.select("a", "b", part("a").alias("i"), part("b").alias("j"))
     crowds = cut.groupBy("i", "j").agg(F.ceil(F.count("*") / (2 * PAIRS_PER_BLOCK)).cast("int").alias("crowd"))
-    cut = cut.join(crowds, ["i", "j"]).select("a", "b", "i", "j", F.pmod(F.xxhash64("a", "b"), F.col("crowd")).cast("int").alias("s"))
-    needs = cut.select(F.col("i").alias("k"), F.col("j").alias("l"), F.col("s").alias("t"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = stage(needs.join(wanted, "doc_id").select("k", "l", "t", "doc_id", "text"), "block-texts")
-    links = cut.groupBy("i", "j", "s").cogroup(full.groupBy("k", "l", "t")).applyInArrow(_linked, "a long, b long")
-    links = stage(links, "links")
-    drop_staged(wanted)
-    drop_staged(full)
-    return links.distinct()
+    # one column, so that rows are dealt out by the whole of it and not by i and j alone
+    block = F.concat_ws("-", "i", "j", F.pmod(F.xxhash64("a", "b"), F.col("crowd")))
+    cut = cut.join(crowds, ["i", "j"]).select("a", "b", block.alias("block"))
+    needs = cut.select(F.col("block").alias("of"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    full = needs.join(texts, "doc_id").select("of", "doc_id", "text")
+    links = cut.groupBy("block").cogroup(full.groupBy("of")).applyInArrow(_linked, "a long, b long")
+    return stage(links, "links").distinct()
 
 
 ELEMENTS = 1_000_000  # of the sets on either side of a pair of blocks
@@ -441,10 +438,12 @@ def _across(asking: DataFrame, asked: DataFrame, of: DataFrame, joined: DataFram
     docs = docs.join(plan, "family")
     own = lambda n: F.pmod(F.xxhash64("r", "hashes"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["family", "i", "j", "r", "component", "asks", "asked", "hashes", "left", (F.col("component") == F.col("main")).alias("in_main")]
+    # one column, so that rows are dealt out by the whole of it and not by family alone
+    block = F.concat_ws("-", "family", "i", "j").alias("block")
+    columns = [block, "r", "component", "asks", "asked", "hashes", "left", (F.col("component") == F.col("main")).alias("in_main")]
     left = docs.filter("component != main").withColumn("i", own("lefts")).withColumn("j", each("rights")).withColumn("left", F.lit(True))
     right = docs.withColumn("j", own("rights")).withColumn("i", each("lefts")).withColumn("left", F.lit(False))
-    links = left.select(*columns).union(right.select(*columns)).groupBy("family", "i", "j").applyInArrow(_span, "a long, b long")
+    links = left.select(*columns).union(right.select(*columns)).groupBy("block").applyInArrow(_span, "a long, b long")
     links = stage(links, "spanning-links")
     drop_staged(families)
     return links
@@ -492,19 +491,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = leaders.select("lead", F.col("lead").alias("doc_id"), F.coalesce("alone", F.lit(0)).alias("alone"))
     leads = by_rep(probed.select("doc_id", "alone", "lead"), "a", "lead").join(by_rep(leaders, "b", "lead"), "lead")
     stars = stage(_possible(leads), "stars")
-    links = _verify(stars, texts)
+
+    # further candidates of probes, which the stars may not bring together with their document
+    several = probed.filter("before > 1").select("doc_id", "held")
+    asked = found.filter("indexed").join(several.select("held").distinct(), "held", "left_semi").select("doc_id", "held")
+
+    # texts are searched once for those that any comparison needs
+    compared = stars.select(F.explode(F.array("a", "b")).alias("rep"))
+    compared = compared.union(several.select("doc_id").union(asked.select("doc_id")).distinct().join(of, "doc_id").select("rep"))
+    needed = stage(texts.join(compared.distinct().withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").distinct(), "texts-compared")
+
+    links = _verify(stars, needed)
     drop_staged(stars)
     again = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).filter("a < hi")
     repeated = of.join(again, "doc_id").select("a", F.col("rep").alias("b")).filter("a != b")
     links = links.union(repeated)
     joined = stage(components(links), "components")
 
-    # probes with further candidates that the stars have not brought together with their document
-    several = probed.filter("before > 1").select("doc_id", "held")
-    asked = found.filter("indexed").join(several.select("held").distinct(), "held", "left_semi").select("doc_id", "held")
-    across = _across(several, asked, of, joined, texts)
-    drop_staged(found)
-    drop_staged(probed)
+    across = _across(several, asked, of, joined, needed)
+    for done in (found, probed, needed):
+        drop_staged(done)
     if not across.isEmpty():
         drop_staged(joined)
         joined = stage(components(links.union(across)), "components")
