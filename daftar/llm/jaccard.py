@@ -33,7 +33,7 @@ from daftar.llm.shared import drop_staged, small_batches, stage
 from daftar.llm.shingles import digest, mixed, shingle_set
 
 SHARE = 75  # sets link when 100 * intersection >= SHARE * union
-KEYS_PER_PART = 4_000_000
+KEYS_PER_PART = 1_500_000  # shingles; a part's keys, about twice as many, meet in one task
 SINGLE = 315  # up to this size (the end of a band) every element is a segment of its own
 LONG = 1000  # in larger sets a shared passage is a small part, and fewer segments do
 _SEGMENT, _BAND, _SHORTER = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -215,7 +215,8 @@ def _meet(group: pa.Table) -> pa.Table:
         wide[:, :5] = np.frombuffer(packed.as_buffer(), np.uint8).reshape(-1, 5)
         keys.append(wide.view("<u8").ravel())
     who, key = np.concatenate(ids), np.concatenate(keys)
-    use, key = (key & np.uint64(3)).astype(np.int64), key >> np.uint64(2)
+    del ids, keys
+    use, key = (key & np.uint64(3)).astype(np.int8), key >> np.uint64(2)
     order = np.argsort(key)
     first = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
     size = np.diff(first, append=len(key))
