@@ -8,12 +8,24 @@ from pyspark.sql import functions as F
 from daftar.functions import patterns as P
 
 
+LATEST = "upload_id string, status string, since timestamp, seq long, n_events long"
+
+
+def latest_status(merged: bool = False) -> list[Column]:
+    """Aggregates of events per upload: the latest by time and then sequence; with ``merged``, of such results."""
+    time = "since" if merged else "ts"
+    at = F.struct(time, "seq")
+    return [
+        F.max_by("status", at).alias("status"),
+        F.max(time).alias("since"),
+        F.max_by("seq", at).alias("seq"),
+        (F.sum("n_events") if merged else F.count("*")).alias("n_events"),
+    ]
+
+
 def current_status(events: DataFrame) -> DataFrame:
     """Latest status per upload, by time and then sequence."""
-    at = F.struct("ts", "seq")
-    return events.groupBy("upload_id").agg(
-        F.max_by("status", at).alias("status"), F.max("ts").alias("since"), F.count("*").alias("n_events")
-    )
+    return events.groupBy("upload_id").agg(*latest_status()).drop("seq")
 
 
 def status_bucket(status: Column) -> Column:

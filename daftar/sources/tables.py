@@ -23,12 +23,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing to the cluster's shared checkpoint folder, and read back.
 
     The folder is ``spark.checkpoint.dir``; it survives the loss of executors. Where it
-    is not set (tests) the frame is returned as it is.
+    is not set (tests) the frame is kept by the session instead, so it is still made once.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        return df
+        return df.persist()
     from uuid import uuid4
 
     return spark.read.parquet(write_table(df, base, f"{name}-{uuid4().hex}", mode="errorifexists"))

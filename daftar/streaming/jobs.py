@@ -8,12 +8,13 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from daftar.operators.rollups import windowed_counts
-from daftar.operators.validate import validate_invoices
+from daftar.operators.status import LATEST, latest_status
+from daftar.operators.validate import filled, validate_invoices
 from daftar.plans.pipeline import extract_invoices
 from daftar.sources.ocr import result_lines, scan_ocr_json
+from daftar.sources.snapshots import Snapshot
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -29,41 +30,62 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
 
 
-def stream_documents(spark: SparkSession, source: str, target: str, checkpoint: str, mode: str = "text_first") -> StreamingQuery:
+FIRST_SEEN = "supplier_vat_number string, invoice_number string, created_at timestamp, extraction_id string"
+
+
+def first_seen(target: str, buckets: int = 1024) -> Snapshot:
+    """The earliest stored extraction of every (VAT number, invoice number)."""
+    return Snapshot(f"{target.rstrip('/')}/first-seen", FIRST_SEEN, ("supplier_vat_number", "invoice_number"), buckets)
+
+
+def stream_documents(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    checkpoint: str,
+    mode: str = "text_first",
+    mappings: DataFrame | None = None,
+    index: Snapshot | None = None,
+    **options,
+) -> StreamingQuery:
     """New OCR JSON files to extractions, lines and verdicts.
 
-    Documents are independent of each other but for duplicates, which are looked for
-    among the stored extractions and the batch itself. Documents without text get a header
-    with every warning; results that cannot be read go to ``rejects``. Each micro-batch owns one
-    ``batch=`` folder per table and overwrites it, so a batch that is run again after a
-    failure leaves the same result.
+    The JSON is parsed once per micro-batch, into ``documents``. Documents are independent of each
+    other but for duplicates: those are looked for within the batch and in ``index``
+    (:func:`first_seen` by default), which holds one slim row per invoice ever stored and of which
+    a batch reads only the buckets of its own invoices; stored extractions are not read again. Documents
+    without text get a header with every warning; results that cannot be read go to
+    ``rejects``. With ``mappings``, lines carry suggested products. Each micro-batch owns one
+    ``batch=`` folder per table and overwrites it, and the index changes by manifest, so a batch that is
+    run again after a failure leaves the same result. ``options`` go to the extraction.
     """
-    tables = {name: f"{target.rstrip('/')}/{name}" for name in ("extractions", "lines", "verdicts", "rejects")}
+    base = target.rstrip("/")
+    index = index or first_seen(target)
 
     def store(df: DataFrame, name: str, batch_id: int) -> DataFrame:
-        path = f"{tables[name]}/batch={batch_id}"
+        path = f"{base}/{name}/batch={batch_id}"
         df.write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.parquet(path)
-
-    def earlier(new: DataFrame, batch_id: int) -> DataFrame:
-        base = tables["extractions"]
-        schema = StructType([*new.schema.fields, StructField("batch", IntegerType())])
-        stored = new.sparkSession.read.schema(schema).option("basePath", base).parquet(base)
-        return stored.where(F.col("batch") < batch_id).drop("batch")
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        rejected = batch.where(F.col("doc_id").isNull() | F.col("_corrupt_record").isNotNull())
-        store(rejected.select(F.coalesce("_corrupt_record", F.to_json(F.struct("pages"))).alias("raw")), "rejects", batch_id)
-        good = batch.where(F.col("doc_id").isNotNull() & F.col("_corrupt_record").isNull())
-        found = extract_invoices(result_lines(good), F.current_timestamp(), mode, documents=good)
+        parsed = store(batch, "documents", batch_id)
+        readable = F.col("doc_id").isNotNull() & F.col("_corrupt_record").isNull()
+        raw = F.coalesce("_corrupt_record", F.to_json(F.struct("pages")))
+        store(parsed.where(~readable).select(raw.alias("raw")), "rejects", batch_id)
+        good = parsed.where(readable)
+        found = extract_invoices(result_lines(good), F.current_timestamp(), mode, documents=good, mappings=mappings, **options)
         new = store(found.extractions, "extractions", batch_id)
         new_lines = store(found.lines, "lines", batch_id)
-        # of the stored extractions only those with a number of this batch matter
-        same = new.select("supplier_vat_number", "invoice_number").distinct()
-        old = earlier(new, batch_id).join(same, ["supplier_vat_number", "invoice_number"], "left_semi")
-        known = new.unionByName(old.select(new.columns))
+        numbered = new.where(filled("supplier_vat_number") & filled("invoice_number")).select(index.names)
+        mine = index.touched(numbered)
+        # of the stored invoices only the earliest of each number matters to a later arrival
+        before = index.latest(batch.sparkSession, before=batch_id)
+        known = new if before is None else new.unionByName(index.read(batch.sparkSession, before, mine), allowMissingColumns=True)
         verdicts = validate_invoices(known, new_lines, duplicates="arrival")
         store(verdicts.join(new.select("extraction_id"), "extraction_id", "left_semi"), "verdicts", batch_id)
+        at = F.struct("created_at", "extraction_id")
+        earliest = [F.min_by(c, at).alias(c) for c in ("created_at", "extraction_id")]
+        index.merge(numbered, batch_id, earliest, mine)
 
     return (
         scan_ocr_json(spark, source, streaming=True)
@@ -74,14 +96,43 @@ def stream_documents(spark: SparkSession, source: str, target: str, checkpoint:
     )
 
 
-def stream_status(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Latest status per upload from a stream of job events, repeated deliveries dropped."""
+def status_snapshot(target: str, buckets: int = 64) -> Snapshot:
+    """The stored status of every upload."""
+    return Snapshot(target.rstrip("/"), LATEST, ("upload_id",), buckets)
+
+
+def stream_status(events: DataFrame, target: str, checkpoint: str, lateness: str = "1 hour", buckets: int = 64) -> StreamingQuery:
+    """Latest status per upload from a stream of job events, kept in :func:`status_snapshot`.
+
+    The stream's own state is one key per event, against repeated deliveries, and each expires when
+    the watermark passes its time plus ``lateness``; nothing is held per upload. What a micro-batch
+    adds is merged into the buckets of its uploads, so an event for an upload of any age
+    finds the status stored: an older event adds to its count, and only a newer one, by time and
+    sequence, changes its status. Events behind the watermark (``lateness`` behind the newest event of
+    earlier batches) are dropped, since a repeat could no longer be told from them.
+    """
+    snapshot = status_snapshot(target, buckets)
     fresh = events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["upload_id", "seq"])
-    return fresh.groupBy("upload_id").agg(
-        F.max_by("status", F.struct("ts", "seq")).alias("status"), F.max("ts").alias("since"), F.count("*").alias("n_events")
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        changes = batch.groupBy("upload_id").agg(*latest_status()).persist()
+        try:
+            snapshot.merge(changes, batch_id, latest_status(merged=True))
+        finally:
+            changes.unpersist()
+        snapshot.vacuum(batch.sparkSession)
+
+    return (
+        fresh.writeStream.foreachBatch(process).outputMode("append")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def read_status(spark: SparkSession, target: str, buckets: int = 64) -> DataFrame:
+    """upload_id, status, since, n_events as the newest committed batch left them."""
+    return status_snapshot(target, buckets).read(spark).drop("seq")
+
+
 def stream_jobs(requests: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """One OCR job per upload from a stream of requests."""
     return (
