@@ -99,13 +99,46 @@ def accounting_rejects(purchase_invoices: DataFrame) -> DataFrame:
     )
 
 
-def audit_rows(df: DataFrame, entity: str, key: str, action: str, values: list[str]) -> DataFrame:
-    """Audit entries to append: one row per row of ``df``."""
+def audit_rows(
+    df: DataFrame, entity: str, key: str, action: str, values: list, old: list | None = None, at: Column | None = None
+) -> DataFrame:
+    """Audit entries to append: one row per row of ``df``. With ``at``, also the old values (NULL if none) and the time."""
     user = F.col("user_id") if "user_id" in df.columns else F.lit(None).cast("string")
+    before = F.to_json(F.struct(*old)) if old else F.lit(None).cast("string")
     return df.select(
         F.lit(entity).alias("entity_type"),
         F.col(key).alias("entity_id"),
         F.lit(action).alias("action"),
+        *([before.alias("old_value")] if at is not None else []),
         F.to_json(F.struct(*values)).alias("new_value"),
         user.alias("user_id"),
+        *([at.alias("created_at")] if at is not None else []),
     )
+
+
+def inventory_audit(movements: DataFrame, at: Column) -> DataFrame:
+    """One entry per invoice posted to inventory, with its number of movements."""
+    n = movements.groupBy("purchase_invoice_id").agg(F.count("*").alias("movementsCreated"))
+    return audit_rows(n, "purchase_invoice", "purchase_invoice_id", "POSTED_TO_INVENTORY", ["movementsCreated"], at=at)
+
+
+def accounting_audit(journal: DataFrame, at: Column) -> DataFrame:
+    """One entry per invoice posted to accounting, with its journal entry."""
+    entries = journal.where("entry_line = 1").withColumn("journalEntryId", F.col("journal_entry_id"))
+    return audit_rows(entries, "purchase_invoice", "purchase_invoice_id", "POSTED_TO_ACCOUNTING", ["journalEntryId"], at=at)
+
+
+def approval_audit(approved: DataFrame, at: Column) -> DataFrame:
+    """One entry per approved invoice; its upload's status before is the old value, if ``approved`` has it."""
+    old = [F.col("old_status").alias("status")] if "old_status" in approved.columns else None
+    values = [F.col("invoice_number").alias("invoiceNumber"), "total"]
+    return audit_rows(approved, "purchase_invoice", "purchase_invoice_id", "APPROVED", values, old, at)
+
+
+def review_audit(before: DataFrame, after: DataFrame, key: str, fields: list[str], at: Column) -> DataFrame:
+    """One entry per row that a manual review changed, with the changed fields before and after."""
+    b, a = (df.select(F.col(key), F.struct(*fields).alias(n)) for df, n in ((before, "b"), (after, "a")))
+    changed = [~F.col(f"b.{f}").eqNullSafe(F.col(f"a.{f}")) for f in fields]
+    any_change = F.array_contains(F.array(*changed), True)
+    only = lambda side: [F.when(c, F.col(f"{side}.{f}")).alias(f) for f, c in zip(fields, changed)]
+    return audit_rows(b.join(a, key).where(any_change), "invoice_extraction", key, "MANUAL_REVIEW_UPDATE", only("a"), only("b"), at)

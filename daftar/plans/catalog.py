@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from daftar.functions import patterns as P
 from daftar.functions.text import canonical_text, date_from_digit_runs, leading_number, parse_date
 from daftar.operators import assemble, headers, items_layout, items_text, mapping, posting, qr, review, rollups, status, validate
+from daftar.operators.ledger import Ledger
+from daftar.operators.status_log import StatusLog, approval_events, verdict_events
 from daftar.operators.keyword_amounts import (
     amount_by_keywords,
     amount_near_keyword,
@@ -51,6 +53,23 @@ def query(name: str, sql: str | None = None):
 
 # -- shared SQL ------------------------------------------------------------------------
 
+
+def _totals(join: str) -> str:
+    return f"""
+tt AS (
+  SELECT k, ck, od, n, s, v, CAST(s + v AS DECIMAL(12,2)) AS tv,
+         CAST(s + v + CASE WHEN k % 11 = 0 THEN 5 ELSE 0 END AS DECIMAL(12,2)) AS t,
+         '3' || lpad(CAST(ck AS VARCHAR), 13, '0') || '3' AS vn
+  FROM (SELECT *, CAST(round(s * CAST(0.15 AS DECIMAL(3,2)), 2) AS DECIMAL(12,2)) AS v
+        FROM (SELECT o_orderkey AS k, o_custkey AS ck, o_orderdate AS od, coalesce(ln, 0) AS n,
+                     CAST(coalesce(ls, 0) AS DECIMAL(12,2)) AS s
+              FROM orders {join} (
+                SELECT l_orderkey AS lk, count(*) AS ln,
+                       CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(12,2)) AS ls
+                FROM lineitem GROUP BY l_orderkey) ON lk = o_orderkey))),
+"""
+
+
 _BASES = {
     "it": """
 it AS (
@@ -63,18 +82,9 @@ it AS (
               // (2 * CAST(l_quantity AS BIGINT)) AS DECIMAL(14,0)) / 100 AS price_d
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 """,
-    "tt": """
-tt AS (
-  SELECT k, ck, od, n, s, v, CAST(s + v AS DECIMAL(12,2)) AS tv,
-         CAST(s + v + CASE WHEN k % 11 = 0 THEN 5 ELSE 0 END AS DECIMAL(12,2)) AS t,
-         '3' || lpad(CAST(ck AS VARCHAR), 13, '0') || '3' AS vn
-  FROM (SELECT o_orderkey AS k, o_custkey AS ck, o_orderdate AS od, n, s,
-               CAST(round(s * CAST(0.15 AS DECIMAL(3,2)), 2) AS DECIMAL(12,2)) AS v
-        FROM orders JOIN (
-          SELECT l_orderkey AS lk, count(*) AS n,
-                 CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(12,2)) AS s
-          FROM lineitem GROUP BY l_orderkey) ON lk = o_orderkey)),
-""",
+    "tt": _totals("JOIN"),
+    # the same over all orders, those without items included
+    "te": _totals("LEFT JOIN"),
     "tx": """
 tx AS (
   SELECT CAST(k AS VARCHAR) AS doc_id, 0 AS line_no,
@@ -783,6 +793,34 @@ def rows_by_y(spark, sf):
     return items_layout.group_rows_by_y(positioned_invoices(spark, sf)).select("doc_id", "line_no", "row_y")
 
 
+@query(
+    "group_rows_by_y_with_unboxed_lines",
+    """{it}{te} SELECT CAST(k AS VARCHAR) AS doc_id, CAST(4 * i + c AS INTEGER) AS line_no, CASE WHEN i % 3 <> 0 THEN 110.0::DOUBLE + 30 * i END AS row_y
+    FROM it, range(4) AS g(c) UNION ALL SELECT CAST(k AS VARCHAR), CAST(c AS INTEGER), NULL FROM tt, range(4) AS g(c) WHERE k % 6 <> 0""",
+)
+def rows_with_unboxed_lines(spark, sf):
+    """Cells of titles and of every third item have no box."""
+    cells, boxed = positioned_invoices(spark, sf, every=True), F.floor(F.col("line_no") / 4) % 3 != 0
+    for c in ("x1", "y1", "x2", "y2"):
+        cells = cells.withColumn(c, F.when(boxed, F.col(c)))
+    return items_layout.group_rows_by_y(cells).select("doc_id", "line_no", "row_y")
+
+
+_TEXT_FIRST = """
+SELECT 't' || CAST(k AS VARCHAR) AS doc_id, name AS raw_name, qty AS quantity, CAST(price_d AS DECIMAL(12,2)) AS unit_price, amount AS line_total,
+  CAST(0.85 AS DECIMAL(5,2)) AS confidence FROM it
+UNION ALL SELECT 'g' || CAST(k AS VARCHAR), name, qty, CAST(price_d AS DECIMAL(12,2)), amount, CAST(0.95 AS DECIMAL(5,2)) FROM it
+"""
+
+
+@query("extract_line_items_text_first", f"{{it}} {_TEXT_FIRST}")
+def items_text_first(spark, sf):
+    """Invoices as text, and as table rows of one wide cell each, whose columns are gaps and which no text rule reads."""
+    return items_layout.extract_line_items(_text_and_wide_rows(spark, sf), "text_first").select(
+        "doc_id", "raw_name", "quantity", "unit_price", "line_total", "confidence"
+    )
+
+
 @query(
     "detect_table_rows",
     """{it} SELECT CAST(k AS VARCHAR) AS doc_id, 110.0::DOUBLE + 30 * i AS row_y, CAST(4 AS BIGINT) AS n_cells, name AS first_text,
@@ -808,6 +846,25 @@ def row_cells(spark, sf):
     )
 
 
+def _text_and_wide_rows(spark: SparkSession, sf: str) -> DataFrame:
+    at = lambda df, kind: df.withColumn("doc_id", F.concat(F.lit(kind), "doc_id"))
+    texts = text_invoices(spark, sf).select(
+        "doc_id", "page_no", "line_no", "text", F.lit(0.9).alias("confidence"),
+        F.lit(50.0).alias("x1"), (F.col("line_no") * 30.0).alias("y1"), F.lit(500.0).alias("x2"), (F.col("line_no") * 30.0 + 20).alias("y2"),
+    )
+    wide = order_items(spark, sf).withColumn("price", F.round(F.col("amount") / F.col("qty"), 2).cast("decimal(12,2)").cast("string"))
+    row = F.concat_ws("   ", "name", F.col("qty").cast("int").cast("string"), "price", F.col("amount").cast("string"))
+    rows = wide.select(F.col("order_key").cast("string").alias("doc_id"), F.col("item_no").alias("line_no"), row.alias("text"))
+    heads = wide.select(F.col("order_key").cast("string").alias("doc_id")).distinct().select(
+        "doc_id", F.lit(0).alias("line_no"), F.lit("الوصف   الكمية   سعر الوحدة   الإجمالي").alias("text")
+    )
+    gaps = heads.unionByName(rows).select(
+        "doc_id", F.lit(1).alias("page_no"), "line_no", "text", F.lit(0.95).alias("confidence"),
+        F.lit(50.0).alias("x1"), (F.col("line_no") * 30.0).alias("y1"), F.lit(500.0).alias("x2"), (F.col("line_no") * 30.0 + 20).alias("y2"),
+    )
+    return at(texts, "t").unionByName(at(gaps, "g"))
+
+
 @query("items_from_layout", f"{{it}} {_LAYOUT}")
 def layout_items(spark, sf):
     return items_layout.items_from_layout(positioned_invoices(spark, sf)).select(
@@ -948,6 +1005,38 @@ def end_to_end(spark, sf):
     return pipeline.extract_and_validate(lines, stamp).select("extraction_id", "n_errors", "n_warnings", "status")
 
 
+@query(
+    "extract_and_validate_every_order",
+    """{it}{te}, sg AS (
+      SELECT DISTINCT name FROM it WHERE list_sort(list_distinct(string_split(lower(name), ' '))) IN (
+        SELECT list_sort(list_distinct(string_split(n, ' '))) FROM (SELECT lower(p_name) AS n, min(p_partkey) AS pk FROM part GROUP BY 1) WHERE pk % 10 <> 0)),
+    sl AS (
+      SELECT k AS mk, count(*) FILTER (abs(qty * CAST(price_d AS DECIMAL(12,2)) - amount) > 0.1) AS m, count(*) FILTER (name NOT IN (SELECT name FROM sg)) AS u
+      FROM it GROUP BY 1),
+    c AS (
+      SELECT k, CAST(CASE WHEN n = 0 AND k % 2 = 0 THEN 3 ELSE (k % 7 = 0)::INT + (t = 0)::INT END AS BIGINT) AS n_errors,
+             CAST((k % 13 = 0 OR (n = 0 AND k % 2 = 0))::INT + (n > 0 AND k % 11 = 0)::INT + coalesce(m, 0) + (coalesce(u, 0) > 0)::INT AS BIGINT) AS n_warnings
+      FROM tt LEFT JOIN sl ON mk = k)
+    SELECT 'ex-' || k AS extraction_id, n_errors, n_warnings, CASE WHEN n_errors + n_warnings = 0 THEN 'READY' ELSE 'NEEDS_REVIEW' END AS status FROM c""",
+)
+def end_to_end_of_every_order(spark, sf):
+    lines = text_invoices(spark, sf, every=True)
+    sheets = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"))
+    stamp = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    verdicts = pipeline.extract_and_validate(lines, stamp, documents=sheets, mappings=D.product_names(spark, sf))
+    return verdicts.select("extraction_id", "n_errors", "n_warnings", "status")
+
+
+@query("validate_every_order", "{it}{te}{ex}{el}{dup}{ls}" + _VERDICT)
+def verdicts_of_every_order(spark, sf):
+    return validate.validate_invoices(D.extractions(spark, sf, every=True), D.extraction_lines(spark, sf))
+
+
+@query("validation_messages_every_order", "{it}{te}{ex}{el}{dup}{ls}" + _MESSAGES)
+def messages_of_every_order(spark, sf):
+    return validate.validation_messages(D.extractions(spark, sf, every=True), D.extraction_lines(spark, sf))
+
+
 # -- 2.7 mapping -----------------------------------------------------------------------
 
 
@@ -1198,6 +1287,76 @@ def unposted(spark, sf):
     return posting.not_yet_posted(pi, posted).select("purchase_invoice_id", "total")
 
 
+@query("approval_decisions_every_order", "{te}{ex}{dup}{lx}{ul}{ad} SELECT extraction_id, upload_id, reject_reason FROM ad")
+def decisions_on_every_order(spark, sf):
+    extractions = D.extractions(spark, sf, every=True)
+    found = review.approval_decisions(extractions, D.uploads(spark, sf), D.approved_uploads(spark, sf))
+    return found.select("extraction_id", "upload_id", "reject_reason")
+
+
+@query("post_accounting_every_order", "{te}{pi}{je} SELECT * FROM je")
+def accounting_of_every_order(spark, sf):
+    return posting.post_accounting(D.purchase_invoices(spark, sf, every=True))
+
+
+@query(
+    "inventory_rejects_every_order",
+    """{it}{te}{pi}{pl} SELECT pi.purchase_invoice_id, CASE WHEN n_lines IS NULL THEN 'No lines to post to inventory' ELSE concat_ws('; ',
+    CASE WHEN n_unmapped > 0 THEN n_unmapped || ' line(s) have no product mapping' END,
+    CASE WHEN n_bad_quantity > 0 THEN n_bad_quantity || ' line(s) have invalid quantity' END,
+    CASE WHEN n_bad_total > 0 THEN n_bad_total || ' line(s) have invalid line total' END) END AS reason
+    FROM pi LEFT JOIN pg USING (purchase_invoice_id) WHERE n_lines IS NULL OR n_unmapped + n_bad_quantity + n_bad_total > 0""",
+)
+def inventory_refused_of_every_order(spark, sf):
+    return posting.inventory_rejects(D.purchase_invoices(spark, sf, every=True), D.purchase_lines(spark, sf))
+
+
+def _posted(spark: SparkSession, sf: str) -> Ledger:
+    """All invoices posted in three batches: some, then all, then all once more."""
+    ledger = Ledger(jobs.work_folder(spark, "ledger"), 16)
+    invoices = D.purchase_invoices(spark, sf, every=True).withColumn("upload_id", F.concat(F.lit("up-"), "purchase_invoice_id"))
+    lines, at = D.purchase_lines(spark, sf), F.to_timestamp(F.lit("2024-03-01 00:00:00"))
+    early = F.pmod(F.xxhash64("purchase_invoice_id"), F.lit(2)) == 0
+    for batch, some in enumerate([invoices.where(early), invoices, invoices]):
+        ledger.post(some, lines, batch, at)
+    return ledger
+
+
+_POST_AUDIT = """
+SELECT purchase_invoice_id AS entity_id, 'POSTED_TO_INVENTORY' AS action, '{"movementsCreated":' || count(*) || '}' AS new_value FROM mv GROUP BY 1
+UNION ALL SELECT purchase_invoice_id, 'POSTED_TO_ACCOUNTING', '{"journalEntryId":"' || journal_entry_id || '"}' FROM je WHERE entry_line = 1
+"""
+
+
+@query(
+    "post_once",
+    f"""{{it}}{{te}}{{pi}}{{pl}}{{je}}, au AS ({_POST_AUDIT}),
+    lt AS (SELECT 'up-' || entity_id AS upload_id, max(action) FILTER (action = 'POSTED_TO_INVENTORY') AS a, max(action) FILTER (action = 'POSTED_TO_ACCOUNTING') AS b FROM au GROUP BY 1)
+    SELECT entity_id, action, new_value, coalesce(b, a) AS status, TIMESTAMP '2024-03-01' AS created_at FROM au JOIN lt ON upload_id = 'up-' || entity_id""",
+)
+def posted_once(spark, sf):
+    ledger = _posted(spark, sf)
+    latest = status.current_status(ledger.read(spark, "statuses")).select(F.substring("upload_id", 4, 1000).alias("entity_id"), "status")
+    return ledger.read(spark, "audit").join(latest, "entity_id").select("entity_id", "action", "new_value", "status", "created_at")
+
+
+@query(
+    "posted_once_tables",
+    """{it}{te}{pi}{pl}{je} SELECT purchase_invoice_id, sum(m) AS n_movements, sum(j) AS n_entry_lines, CAST(sum(c) AS DECIMAL(22,2)) AS cost, CAST(sum(d) AS DECIMAL(22,2)) AS debit
+    FROM (SELECT purchase_invoice_id, 1 AS m, 0 AS j, total_cost AS c, 0 AS d FROM mv
+          UNION ALL SELECT purchase_invoice_id, 0, 1, 0, CASE WHEN side = 'DR' THEN amount ELSE 0 END FROM je) GROUP BY 1""",
+)
+def posted_tables(spark, sf):
+    ledger, no = _posted(spark, sf), F.lit(0).cast("decimal(12,2)")
+    moved = ledger.read(spark, "movements").select("purchase_invoice_id", F.lit(1).alias("m"), F.lit(0).alias("j"), F.col("total_cost").alias("c"), no.alias("d"))
+    entered = ledger.read(spark, "journal").select(
+        "purchase_invoice_id", F.lit(0).alias("m"), F.lit(1).alias("j"), no.alias("c"), F.when(F.col("side") == "DR", F.col("amount")).otherwise(no).alias("d")
+    )
+    return moved.unionByName(entered).groupBy("purchase_invoice_id").agg(
+        F.sum("m").alias("n_movements"), F.sum("j").alias("n_entry_lines"), F.sum("c").alias("cost"), F.sum("d").alias("debit")
+    )
+
+
 @query(
     "audit_append",
     """{tt}{pi} SELECT 'purchase_invoice' AS entity_type, purchase_invoice_id AS entity_id, 'APPROVED' AS action,
@@ -1217,6 +1376,36 @@ def statuses(spark, sf):
     return status.current_status(D.status_events(spark, sf))
 
 
+@query("status_log", "{st} SELECT * FROM cs")
+def logged_statuses(spark, sf):
+    log, events = StatusLog(jobs.work_folder(spark, "status-log"), 16), D.status_events(spark, sf)
+    for batch in range(3):  # the first two are compacted
+        log.append(events.where(F.pmod(F.col("seq"), F.lit(3)) == batch), batch)
+        if batch == 1:
+            log.compact(spark)
+    return log.current(spark)
+
+
+@query(
+    "status_of_reviewed_uploads",
+    """{it}{te}{ex}{el}{dup}{ls}{lx}{ul}{ad}, ev AS (
+      SELECT vd.upload_id, CASE WHEN n_errors > 0 OR n_warnings > 0 THEN 'NEEDS_REVIEW' ELSE 'READY' END AS status, created_at AS ts, k AS seq
+      FROM vd JOIN ex USING (extraction_id)
+      UNION ALL SELECT upload_id, 'APPROVED', TIMESTAMP '2030-01-01', 0 FROM ad WHERE reject_reason IS NULL)
+    SELECT upload_id, arg_max(status, row(ts, seq)) AS status, max(ts) AS since, count(*) AS n_events FROM ev GROUP BY 1""",
+)
+def reviewed_statuses(spark, sf):
+    log = StatusLog(jobs.work_folder(spark, "review-log"), 16)
+    extractions, lines = D.extractions(spark, sf, every=True), D.extraction_lines(spark, sf)
+    times = extractions.select("extraction_id", F.col("created_at").alias("ts"))
+    verdicts = validate.validate_invoices(extractions, lines).join(times, "extraction_id")
+    log.append(verdict_events(verdicts, F.col("ts"), F.substring("extraction_id", 4, 20)), 0)
+    log.compact(spark)
+    approved = review.approve_batch(review.approval_decisions(extractions, D.uploads(spark, sf), D.approved_uploads(spark, sf)))
+    log.append(approval_events(approved, F.to_timestamp(F.lit("2030-01-01 00:00:00")), F.lit(0)), 1)
+    return log.current(spark)
+
+
 @query(
     "status_buckets",
     """{st} SELECT status, CASE WHEN status IN ('QUEUED', 'PROCESSING_OCR') THEN 'processing' WHEN status = 'OCR_FAILED' THEN 'failed' ELSE 'done' END AS bucket,
@@ -1269,7 +1458,7 @@ def timings(spark, sf):
             F.concat("event_type", F.lit("_ms")), F.col("value"), F.lit("total_ms"), F.col("value") * 2
         ).alias("timings")
     )
-    return rollups.ocr_timing_stats(results, accuracy=1_000_000)
+    return rollups.ocr_timing_stats(results)
 
 
 _HOURLY = "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end"
@@ -1356,8 +1545,8 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_status", "{st} SELECT * FROM cs")
 def streamed_status(spark, sf):
     out, mark = jobs.work_folder(spark, "status"), jobs.work_folder(spark, "status-mark")
-    jobs.run_to_table(jobs.stream_status(_event_stream(spark, sf)), out, mark, "update")
-    return jobs.read_updates(spark, out, "upload_id")
+    jobs.stream_status(_event_stream(spark, sf), out, mark).awaitTermination()
+    return jobs.read_status(spark, out)
 
 
 @query("stream_error_rate", f"{{st}} {_HOURLY}, error_code, count(*) AS n FROM st WHERE error_code IS NOT NULL GROUP BY ALL")

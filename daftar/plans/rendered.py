@@ -175,12 +175,12 @@ def statements(spark: SparkSession, sf: str) -> DataFrame:
     return titles.unionByName(body).select(F.col("doc").cast("string").alias("doc_id"), "line_no", "text")
 
 
-def positioned_invoices(spark: SparkSession, sf: str) -> DataFrame:
+def positioned_invoices(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
     """The same orders as table cells with boxes and confidences, without SAR marks.
 
     Cells of one row lie up to 9 units apart in height, rows 30 apart. Every cell has
     confidence 0.95, or 0.70 in rows of items whose number is a multiple of 4. Orders with
-    key % 6 = 0 have no column titles.
+    key % 6 = 0 have no column titles. With ``every``, orders without items have their titles alone.
     """
     items = order_items(spark, sf)
     price = F.round(F.col("amount") / F.col("qty"), 2).cast(MONEY).cast("string")
@@ -206,7 +206,7 @@ def positioned_invoices(spark: SparkSession, sf: str) -> DataFrame:
             )
         ]
     )
-    head = order_totals(spark, sf).select(
+    head = order_totals(spark, sf, every).select(
         "order_key",
         F.lit(0).alias("item_no"),
         F.explode(F.when(F.col("order_key") % 6 != 0, titles)).alias("c"),

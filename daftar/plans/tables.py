@@ -13,14 +13,15 @@ def _text(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
-def extractions(spark: SparkSession, sf: str) -> DataFrame:
+def extractions(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
     """Extracted headers with faults: missing fields, odd VAT numbers, wrong totals, duplicates.
 
-    Three consecutive orders share an upload, the latest by order date being current.
+    Three consecutive orders share an upload, the latest by order date being current. With
+    ``every``, orders without items have one too, of amounts zero.
     """
     k = F.col("order_key")
     unless = lambda n, c: F.when(k % n != 0, c)
-    return order_totals(spark, sf).select(
+    return order_totals(spark, sf, every).select(
         F.concat(F.lit("ex-"), _text("order_key")).alias("extraction_id"),
         F.concat(F.lit("up-"), _text(F.floor(k / 3))).alias("upload_id"),
         F.concat(F.lit("Customer "), _text("o_custkey")).alias("supplier_name"),
@@ -74,10 +75,10 @@ def approved_uploads(spark: SparkSession, sf: str) -> DataFrame:
     return uploads(spark, sf).where(F.substring("upload_id", -1, 1) == "5").select("upload_id")
 
 
-def purchase_invoices(spark: SparkSession, sf: str) -> DataFrame:
-    """Purchase invoices, one per order with lines; some without date, number or VAT."""
+def purchase_invoices(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    """Purchase invoices, one per order with lines (or ``every`` order); some without date, number or VAT."""
     k = F.col("order_key")
-    return order_totals(spark, sf).select(
+    return order_totals(spark, sf, every).select(
         F.concat(F.lit("pi-"), _text("order_key")).alias("purchase_invoice_id"),
         F.concat(F.lit("ex-"), _text("order_key")).alias("extraction_id"),
         "vat_number",
@@ -140,6 +141,18 @@ def mappings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def product_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Mappings of part names as they stand on invoices; names of parts with a key divisible by 10 are not known."""
+    part = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("n"))
+    known = part.groupBy("n").agg(F.min("p_partkey").alias("pk")).where("pk % 10 <> 0")
+    return known.select(
+        F.concat(F.lit("n-"), F.col("n")).alias("mapping_id"),
+        F.lit(None).cast("string").alias("supplier_id"),
+        F.col("n").alias("normalized_name"),
+        F.concat(F.lit("p-"), _text("pk")).alias("product_id"),
+    )
+
+
 def status_events(spark: SparkSession, sf: str) -> DataFrame:
     """Job events: status and error code from the event stream."""
     return as_status_events(table(spark, sf, "events"))
