@@ -15,12 +15,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from daftar.llm.shared import small_batches
 
-DOCS_PER_LANGUAGE = 400  # sampled for fitting, in expectation
-SAMPLE_CHARS = 20_000  # longer documents are not used for fitting
+PIECES_PER_LANGUAGE = 400  # distinct pieces of text drawn for fitting
+PIECE_CHARS = 20_000  # longer texts are cut into pieces of this length
 ROUNDS = 4
 LONGEST = 48  # letters; longer words are scored in stretches
 FLOOR = 1e-7  # probability of a letter outside all pieces, the same in every language
@@ -144,17 +145,24 @@ def usable_pieces(pieces: list[str]) -> tuple[str, ...]:
 
 
 def learn(docs: DataFrame, pieces: list[str]) -> Model | None:
-    """Fit on documents outside the held-out fold that have a language; None if there are none."""
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(~held_out() & F.col("lang").isNotNull())
-    short = known.filter(F.length("text") <= SAMPLE_CHARS)
-    sizes = short.groupBy("lang").count().collect()  # one row per language
-    if not sizes:
+    """Fit on documents outside the held-out fold that have a language; None if there are none.
+
+    Every language of such documents with a letter is learned, from up to ``PIECES_PER_LANGUAGE``
+    distinct pieces of its texts of any length.
+    """
+    lang = F.col("lang").cast("string").alias("lang")
+    parts = F.regexp_extract_all(F.col("text").cast("string"), F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))
+    known = docs.filter(~held_out() & F.col("lang").isNotNull()).select(lang, F.explode(parts).alias("piece"))
+    known = known.filter(F.col("piece").rlike(r"\p{L}")).withColumn("h", F.xxhash64("piece"))
+    # distinct pieces by their hashes: copies neither fill nor thin the sample, and long texts take part
+    first = W.partitionBy("lang").orderBy("h")
+    drawn = known.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= PIECES_PER_LANGUAGE)
+    texts = known.join(drawn.select("lang", "h"), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("piece").alias("piece"))
+    words = texts.select("lang", F.explode(F.regexp_extract_all(F.lower("piece"), F.lit(rf"\p{{L}}{{1,{LONGEST}}}"), F.lit(0))).alias("word"))
+    table = words.groupBy("word", "lang").count().orderBy("word", "lang").toArrow()
+    names = tuple(sorted(set(table.column("lang").to_pylist())))
+    if not names:
         return None
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, DOCS_PER_LANGUAGE / r["count"]))])
-    drawn = (F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) / (1 << 20)) < share[F.col("lang")]
-    words = short.filter(drawn).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    table = words.withColumn("word", F.substring("word", 1, LONGEST)).groupBy("word", "lang").count().orderBy("word", "lang").toArrow()
-    names = tuple(sorted(r.lang for r in sizes))
     distinct = sorted(set(table.column("word").to_pylist()))
     place, column = {w: i for i, w in enumerate(distinct)}, {n: i for i, n in enumerate(names)}
     counts = np.zeros((len(distinct), len(names)))

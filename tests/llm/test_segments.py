@@ -61,3 +61,19 @@ def test_held_out_accuracy_and_edges(spark):
     empty = df.limit(0)
     assert segments.identify(empty, pieces).collect() == []
     assert [r.lang_pred for r in segments.identify(odd.withColumn("lang", odd.score.substr(2, 0)).filter("doc_id = 4").selectExpr("doc_id", "text", "cast(null as string) as lang"), pieces).collect()] == ["und", "und"]
+
+
+def test_every_language_is_learned_whatever_its_texts_are_like(spark):
+    """Long texts only, one text many times over, words longer than the lattice; each is predicted again."""
+    pieces = list(load(piece_model()).pieces)
+    english, german = "the and of that with from this which ", "der und die nicht auch eine wird sich "
+    french, glued = "les des dans pour avec cette sont plus ", "donaudampfschifffahrtsgesellschaft" * 5 + " "
+    rows = [(i, english * 3, "en") for i in range(40)] + [(100 + i, german * 4000, "de") for i in range(20)]
+    rows += [(200 + i, french * 5, "fr") for i in range(3000)] + [(4000 + i, glued * (i + 2), "xx") for i in range(20)]
+    rows += [(5000 + i, None, "null") for i in range(9)] + [(6000 + i, "12 .", "digits") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for shift in (0, 100_000):
+        model = segments.learn(df.withColumn("doc_id", df.doc_id + shift), pieces)
+        assert model.languages == ("de", "en", "fr", "xx")
+        asked = spark.createDataFrame([(1, english, "-"), (2, german * 9000, "-"), (3, french, "-"), (4, glued, "-")], df.schema)
+        assert [r.lang_pred for r in segments.identify(asked, pieces, model).orderBy("doc_id").collect()] == ["en", "de", "fr", "xx"]
