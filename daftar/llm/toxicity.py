@@ -24,7 +24,7 @@ from daftar.llm.segments import held_out
 from daftar.llm.shared import small_batches
 
 PER_CLASS = 1000  # labelled documents of each class the network learns from
-SAMPLE_CHARS = 20_000  # longer documents are not used for learning
+SAMPLE_CHARS = 20_000  # of a longer document one piece of this length is used for learning
 WINDOW, STEP = 32, 16  # words
 WORD_DIM, TRIPLE_DIM, HIDDEN = 12, 8, 8
 VOCABULARY, LEAST_DOCS = 20_000, 4
@@ -34,6 +34,7 @@ ROUNDS, BATCH, RATE = 10, 64, 0.01
 REMEMBERED = 200_000  # words kept per worker
 AT_ONCE = 2048  # windows scored together
 WORDS = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}")
+LETTER, LETTERS_ON = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]*")
 
 
 def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -239,13 +240,18 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Train on labelled documents outside the held-out fold; None unless both labels occur."""
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(~held_out() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(~held_out() & F.col("text").isNotNull())
     marks = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # labels first: only the sample's documents are then looked up
     drawn = [
         marks.filter(~held_out() & (F.col("toxic") == k)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS) for k in (0, 1)
     ]
-    table = known.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    # of rows that share an identifier the least text, and of a long text one piece: what is drawn is bounded
+    texts = known.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{SAMPLE_CHARS}}}"), F.lit(0))
+    piece = F.try_element_at("pieces", (F.pmod(F.xxhash64("doc_id"), F.size("pieces")) + 1).cast("int"))
+    texts = texts.withColumn("pieces", pieces).filter(F.size("pieces") > 0)
+    table = texts.select("doc_id", piece.alias("text"), "toxic").toArrow().sort_by([("doc_id", "ascending")])
     y = table.column("toxic").to_numpy().astype(int)
     if not 0 < y.sum() < len(y):
         return None
@@ -270,35 +276,38 @@ class Scorer:
         self.table = np.concatenate(blocks)
 
     def _slices(self, text: str, size: int = 1 << 18) -> Iterator[list[str]]:
+        """The words of a text, in slices that end between words."""
         at = 0
         while at < len(text):
             end = min(at + size, len(text))
-            while end < len(text) and end < at + 2 * size and text[end].isalpha():
-                end += 1
+            start = end
+            while start > at and LETTER.match(text[start - 1]):
+                start -= 1
+            end = LETTERS_ON.match(text, end, min(len(text), at + 2 * size)).end()
+            if end < len(text) and LETTER.match(text[end]):  # an endless run of letters is cut between its words
+                end = start + (end - start) // LETTERS * LETTERS
             yield WORDS.findall(text[at:end].lower())
             at = end
 
     def _blocks(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All windows of a text, in blocks; words of the last window are carried over between slices."""
+        """The windows of a whole text, in blocks; words of unfinished windows are carried over between slices."""
         rest: list[str] = []
-        pending = None
-        for words in self._slices(text):
-            if pending is not None:
-                yield pending
-            distinct = set(words) | set(rest)
+        slices = self._slices(text)
+        words = next(slices, None)
+        while words is not None:
+            following = next(slices, None)
+            rest = rest + words
+            distinct = set(rest)
             if not distinct <= self.place.keys():
                 self.know(distinct)
-            index = np.fromiter(map(self.place.__getitem__, rest + words), dtype=np.int64, count=len(rest) + len(words))
-            if not len(index):
-                pending = None
-                continue
-            starts = windows(len(index))
-            slots, mask = _slots(index, starts)
-            pending = self.table[slots], mask
-            kept = (len(index) - WINDOW) // STEP * STEP if len(index) > WINDOW else 0
-            rest = (rest + words)[kept:]
-        if pending is not None:
-            yield pending
+            index = np.fromiter(map(self.place.__getitem__, rest), dtype=np.int64, count=len(rest))
+            # the window that ends with the text belongs to the last slice alone
+            kept = max(0, (len(index) - WINDOW) // STEP * STEP)
+            starts = windows(len(index)) if following is None else np.arange(0, kept, STEP)
+            if len(index) and len(starts):
+                slots, mask = _slots(index, starts)
+                yield self.table[slots], mask
+            rest, words = rest[kept:], following
 
     def worst(self, text: str) -> float | None:
         best = None

@@ -71,13 +71,53 @@ def test_long_texts_are_scored_whole(model):
     assert abs(scorer.worst(short) - max(scorer.worst(short[:700]), scorer.worst(short))) < 1e-4
 
 
+def plain_score(model, text):
+    """One window after the other, every word by itself."""
+    words = toxicity.WORDS.findall((text or "").lower())
+    if not words:
+        return model.blank
+    net, best = model.network, -np.inf
+    for start in toxicity.windows(len(words)):
+        part = words[start : start + toxicity.WINDOW]
+        gates = np.zeros((1, toxicity.WINDOW, 6 * toxicity.HIDDEN), np.float32)
+        for i, word in enumerate(part):
+            gates[0, i] = net.projected(net.inputs([word])[0])[0]
+        mask = (np.arange(toxicity.WINDOW) < len(part))[None, :]
+        best = max(best, float(net.run(gates, mask.astype(np.float32))[0]))
+    return 1 / (1 + np.exp(-np.clip(model.slope * best + model.offset, -30, 30)))
+
+
+def test_scores_are_those_of_a_plain_loop_over_windows(model, monkeypatch):
+    rng = np.random.default_rng(1)
+    some = "of the on thtion it and erth was in hain idiot moron trash über café ﬁx".split()
+    texts = [None, "", "12", *[" ".join(rng.choice(some, n)) for n in (1, 5, 31, 32, 33, 47, 48, 49, 64, 65, 200, 1000)], "x" * 700 + " idiot", "é" * 5000]
+    want = [plain_score(model, t) for t in texts]
+    assert np.allclose(toxicity.Scorer(model).scores(texts), want, atol=1e-4)
+    # the same through slices of any size, as for long texts
+    parts = toxicity.Scorer._slices
+    for size in (40, 300, 5000):
+        monkeypatch.setattr(toxicity.Scorer, "_slices", lambda self, t, size=size: parts(self, t, size))
+        scorer = toxicity.Scorer(model)
+        for text, score in zip(texts[3:], want[3:]):
+            assert "".join(w for words in scorer._slices(text) for w in words) == "".join(toxicity.WORDS.findall(text.lower()))
+            assert abs(1 / (1 + np.exp(-np.clip(model.slope * scorer.worst(text) + model.offset, -30, 30))) - score) < 1e-4
+
+
 def test_slices_give_the_windows_of_the_whole(model, monkeypatch):
-    scorer = toxicity.Scorer(model)
-    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i % 7)}" for i in range(3000)) + " idiot moron trash"
-    whole = scorer.worst(text)
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i % 7)}" for i in range(50_057)) + " idiot moron trash"
+    n = len(toxicity.WORDS.findall(text))
     parts = toxicity.Scorer._slices
-    monkeypatch.setattr(toxicity.Scorer, "_slices", lambda self, t: parts(self, t, 500))
-    assert scorer.worst(text) >= whole - 1e-4
+    for size in (500, 1 << 18):
+        monkeypatch.setattr(toxicity.Scorer, "_slices", lambda self, t, size=size: parts(self, t, size))
+        assert sum(len(gates) for gates, _ in toxicity.Scorer(model)._blocks(text)) == len(toxicity.windows(n))
+
+
+def test_long_documents_are_learned_from(spark):
+    """Labelled documents that are all long, and one identifier with many rows."""
+    rows = [(i, ("of the thtion and erth " * 6000) + ("idiot moron trash " * 2000 if i % 2 else "was in hain ")) for i in range(60)]
+    rows += [(1, "of the") for _ in range(500)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels) is not None
 
 
 def test_edge_cases(spark, tables, model):
