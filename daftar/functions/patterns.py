@@ -156,34 +156,16 @@ NOT_A_TOTAL = [
     r"rounding",
 ]
 
-# strict search: keyword lines and the lines that bound the search
-STRICT_SUBTOTAL = [
-    r"المجموع\s*الفرعي",
-    r"الفرعي\s*المجموع",
-    r"المجموع\s*قبل\s*الضريبة",
-    r"قبل\s*الضريبة",
-    r"subtotal",
-    r"sub\s*total",
-    r"amount\s*before\s*vat",
-]
+# ---------------------------------------------------------------------------
+# The strict search, its keyword patterns (each one pattern) and the lines that bound it
+# ---------------------------------------------------------------------------
+
+STRICT_SUBTOTAL = r"المجموع\s*الفرعي|الفرعي\s*المجموع|المجموع\s*قبل\s*الضريبة|قبل\s*الضريبة|subtotal|sub\s*total|amount\s*before\s*vat"
 STRICT_SUBTOTAL_EXCLUDE = [r"الإجمالي|total", r"ضريبة|vat", r"التقريب|rounding"]
-STRICT_VAT = [
-    r"ضريبة\s*القيمة\s*المضافة",
-    r"القيمة\s*المضافة",
-    r"المضافة\s*القيمة",
-    r"vat",
-    r"value\s*added\s*tax",
-]
+STRICT_VAT = r"ضريبة\s*القيمة\s*المضافة|القيمة\s*المضافة|المضافة\s*القيمة|vat|value\s*added\s*tax"
 STRICT_VAT_EXCLUDE = [r"المجموع\s*الفرعي|subtotal", r"الإجمالي|total", r"التقريب"]
 LOOSE_VAT = r"ضريبة|VAT"
-STRICT_TOTAL = [
-    r"الإجمالي",
-    r"المجموع\s*الكلي",
-    r"المبلغ\s*المستحق",
-    r"grand\s*total",
-    r"total\s*amount",
-    r"amount\s*due",
-]
+STRICT_TOTAL = r"الإجمالي|المجموع\s*الكلي|المبلغ\s*المستحق|grand\s*total|total\s*amount|amount\s*due"
 TOTAL_MARK = r"الإجمالي"
 NOT_AN_AMOUNT_LINE = [
     r"ضريبة|vat",
@@ -307,3 +289,24 @@ REVIEWABLE_STATUSES = ["NEEDS_REVIEW", "READY"]
 APPROVAL_BLOCKERS = ["OCR_FAILED", "EXTRACTION_FAILED", "VALIDATION_FAILED"]
 JOB_ATTEMPTS = 3
 OCR_TIMEOUT_SECONDS = 120
+
+# ---------------------------------------------------------------------------
+# Texts of findings and reasons
+# ---------------------------------------------------------------------------
+
+NO_INVOICE_NUMBER_SEEN = "Invoice number not detected"
+NO_INVOICE_DATE_SEEN = "Invoice date not detected"
+NO_TOTAL_SEEN = "Total amount not detected"
+NO_VAT_NUMBER_SEEN = "Supplier VAT number not detected"
+
+NUMBER_REQUIRED = "Invoice number is required"
+DATE_REQUIRED = "Invoice date is required"
+TOTAL_REQUIRED = "Total amount is required"
+VAT_NUMBER_FORMAT = "Supplier VAT number should be 15 digits"
+VAT_NUMBER_REQUIRED = "VAT number required for Saudi invoices"
+LINES_UNMAPPED = " line item(s) have no product mapping"
+
+NO_LINES_TO_POST = "No lines to post to inventory"
+DATE_REQUIRED_FOR_ACCOUNTING = "Invoice date is required for accounting posting"
+NUMBER_REQUIRED_FOR_ACCOUNTING = "Invoice number is required for accounting posting"
+INVALID_TOTAL_FOR_ACCOUNTING = "Invalid total for accounting posting"

@@ -20,7 +20,7 @@ def inventory_rejects(purchase_invoices: DataFrame, lines: DataFrame) -> DataFra
     n = lambda c: F.coalesce(c, F.lit(0))
     faults = F.array_compact(
         F.array(
-            F.when(n("n_lines") == 0, "No lines to post to inventory"),
+            F.when(n("n_lines") == 0, P.NO_LINES_TO_POST),
             F.when(n("n_unmapped") > 0, F.concat(F.col("n_unmapped").cast("string"), F.lit(" line(s) have no product mapping"))),
             F.when(n("n_bad_quantity") > 0, F.concat(F.col("n_bad_quantity").cast("string"), F.lit(" line(s) have invalid quantity"))),
             F.when(n("n_bad_total") > 0, F.concat(F.col("n_bad_total").cast("string"), F.lit(" line(s) have invalid line total"))),
@@ -92,9 +92,9 @@ def post_accounting(purchase_invoices: DataFrame, posted: DataFrame | None = Non
 def accounting_rejects(purchase_invoices: DataFrame) -> DataFrame:
     return purchase_invoices.where(~accounting_ready()).select(
         "purchase_invoice_id",
-        F.when(F.col("invoice_date").isNull(), "Invoice date is required for accounting posting")
-        .when(~filled("invoice_number"), "Invoice number is required for accounting posting")
-        .otherwise("Invalid total for accounting posting")
+        F.when(F.col("invoice_date").isNull(), P.DATE_REQUIRED_FOR_ACCOUNTING)
+        .when(~filled("invoice_number"), P.NUMBER_REQUIRED_FOR_ACCOUNTING)
+        .otherwise(P.INVALID_TOTAL_FOR_ACCOUNTING)
         .alias("reason"),
     )
 

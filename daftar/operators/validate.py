@@ -149,11 +149,11 @@ def validation_messages(extractions: DataFrame, lines: DataFrame, duplicates: st
     checked = check_invoices(extractions, lines, duplicates)
     found = F.array_compact(
         F.array(
-            finding("no_number", "error", "number", F.lit("Invoice number is required")),
-            finding("no_date", "error", "date", F.lit("Invoice date is required")),
-            finding("no_total", "error", "total", F.lit("Total amount is required")),
-            finding("vat_malformed", "warning", "vat_format", F.lit("Supplier VAT number should be 15 digits")),
-            finding("vat_missing", "warning", "vat_missing", F.lit("VAT number required for Saudi invoices")),
+            finding("no_number", "error", "number", F.lit(P.NUMBER_REQUIRED)),
+            finding("no_date", "error", "date", F.lit(P.DATE_REQUIRED)),
+            finding("no_total", "error", "total", F.lit(P.TOTAL_REQUIRED)),
+            finding("vat_malformed", "warning", "vat_format", F.lit(P.VAT_NUMBER_FORMAT)),
+            finding("vat_missing", "warning", "vat_missing", F.lit(P.VAT_NUMBER_REQUIRED)),
             finding(
                 "total_off", "warning", "total_mismatch",
                 F.lit("Total mismatch: subtotal("), text("subtotal"), F.lit(") + VAT("), text("vat_amount"),
@@ -170,7 +170,7 @@ def validation_messages(extractions: DataFrame, lines: DataFrame, duplicates: st
             ),
             finding(
                 F.col("n_unmapped") > 0, "warning", "unmapped",
-                F.col("n_unmapped").cast("string"), F.lit(" line item(s) have no product mapping"),
+                F.col("n_unmapped").cast("string"), F.lit(P.LINES_UNMAPPED),
             ),
         )
     )
@@ -206,15 +206,21 @@ def verdict_summary(verdicts: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def approval_gate(extractions: DataFrame) -> DataFrame:
-    """Errors that block approval; here a wrong total is one of them."""
+def approval_gate(extractions: DataFrame, detailed: bool = False) -> DataFrame:
+    """Errors that block approval; here a wrong total is one of them. With ``detailed``, they state amounts and numbers."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    mismatch, duplicate = F.lit("Total mismatch"), F.lit("Duplicate invoice")
+    if detailed:
+        expected = (F.col("subtotal") + F.col("vat_amount")).cast("decimal(13,2)").cast("string")
+        mismatch = F.concat(mismatch, F.lit(": "), text("subtotal"), F.lit(" + "), text("vat_amount"), F.lit(" = "), expected, F.lit(", not "), text("total"))
+        duplicate = F.concat(duplicate, F.lit(": "), text("supplier_vat_number"), F.lit(" / "), text("invoice_number"))
     parts = F.array_compact(
         F.array(
-            F.when(F.col("no_number"), "Invoice number is required"),
-            F.when(F.col("no_date"), "Invoice date is required"),
-            F.when(F.col("no_total"), "Total amount is required"),
-            F.when(F.col("total_off"), "Total mismatch"),
-            F.when(F.col("is_duplicate"), "Duplicate invoice"),
+            F.when(F.col("no_number"), P.NUMBER_REQUIRED),
+            F.when(F.col("no_date"), P.DATE_REQUIRED),
+            F.when(F.col("no_total"), P.TOTAL_REQUIRED),
+            F.when(F.col("total_off"), mismatch),
+            F.when(F.col("is_duplicate"), duplicate),
         )
     )
     return flag_duplicates(header_checks(extractions)).select(

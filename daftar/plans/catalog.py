@@ -301,6 +301,20 @@ def admit(spark, sf):
     return up.admit_uploads(_upload_files(spark, sf)).select("upload_id", "extension", "reject_reason")
 
 
+@query(
+    "scan_uploads",
+    """SELECT c_mktsegment AS folder, CAST(sum(strlen(c_name || ' ' || c_custkey) + 1) AS BIGINT) AS n_bytes, 'invalid file type' AS reject_reason
+    FROM customer GROUP BY 1""",
+)
+def scanned_uploads(spark, sf):
+    """Text files in one folder per market segment: found, measured, and turned away by their type."""
+    folder = jobs.work_folder(spark, "uploads")
+    text = F.concat_ws(" ", "c_name", "c_custkey").alias("value")
+    table(spark, sf, "customer").select(text, F.col("c_mktsegment").alias("segment")).write.partitionBy("segment").text(folder)
+    found = up.admit_uploads(up.scan_uploads(spark, folder))
+    return found.groupBy(F.regexp_extract("path", "segment=([^/]+)", 1).alias("folder"), "reject_reason").agg(F.sum("size_bytes").alias("n_bytes"))
+
+
 @query("accepted_uploads", f"SELECT upload_id, extension, 'QUEUED' AS status FROM ({_FILES}) WHERE reject_reason IS NULL")
 def accepted(spark, sf):
     return up.accepted_uploads(_upload_files(spark, sf)).select("upload_id", "extension", "status")
@@ -343,6 +357,51 @@ def scan(spark, sf):
     return ocr.result_lines(ocr.scan_ocr_json(spark, folder)).select("doc_id", "page_no", "line_no", "text", "x1", "y1")
 
 
+@query(
+    "ocr_result_summary",
+    """{it}{tt}{tx} SELECT doc_id, 'hybrid' AS engine, '2.' || (k % 3) AS engine_version, k % 8 / 8.0::DOUBLE AS confidence, k % 4 = 0 AS used_fallback,
+    CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS n_pages, CAST(n_lines AS INTEGER) AS n_lines, CAST(len AS INTEGER) AS text_length, k % 5 = 0 AS has_markdown,
+    CASE WHEN k % 3 = 0 THEN 'Trader ' || k END AS qr_seller, CASE WHEN k % 3 = 0 THEN vn END AS qr_vat_number, CASE WHEN k % 3 = 0 THEN CAST(t AS VARCHAR) END AS qr_total
+    FROM (SELECT doc_id, count(*) AS n_lines, sum(length(text)) + count(*) - 1 AS len FROM tx GROUP BY 1) JOIN tt ON doc_id = CAST(k AS VARCHAR)""",
+)
+def ocr_summaries(spark, sf):
+    return ocr.result_summary(_full_results(spark, sf))
+
+
+@query(
+    "scan_top_level_lines",
+    """{it}{tt}{tx} SELECT doc_id, 1 AS page_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS INTEGER) AS line_no,
+    CASE WHEN CAST(doc_id AS BIGINT) % 5 = 0 THEN translate(text, '0123456789', '٠١٢٣٤٥٦٧٨٩') ELSE text END AS text FROM tx""",
+)
+def scan_top_level(spark, sf):
+    return ocr.result_lines(_full_results(spark, sf)).select("doc_id", "page_no", "line_no", "text")
+
+
+@query("rejected_results", "{it}{tt} SELECT '{\"doc_id\": ' || k AS raw FROM tt")
+def rejects(spark, sf):
+    """Every response once as it is and once cut off."""
+    folder = jobs.work_folder(spark, "ocr-cut")
+    _ocr_documents(spark, sf).select(F.to_json(F.struct("*")).alias("value")).write.text(folder)
+    order_totals(spark, sf).select(F.concat(F.lit('{"doc_id": '), F.col("order_key").cast("string")).alias("value")).write.mode("append").text(folder)
+    return ocr.rejected_results(ocr.scan_ocr_json(spark, folder)).select(F.col("_corrupt_record").alias("raw"))
+
+
+def _full_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses with every field; those of odd orders have their lines at the top and no pages."""
+    folder, k = jobs.work_folder(spark, "ocr-full"), F.col("order_key")
+    docs = _ocr_documents(spark, sf).withColumn("l", F.get("pages", F.lit(0))["lines"])
+    known = order_totals(spark, sf).select("order_key", "vat_number", F.col("total").cast("string").alias("total"))
+    docs = docs.join(known, F.col("doc_id") == k.cast("string"))
+    zatca = F.struct(F.concat(F.lit("Trader "), k.cast("string")).alias("sellerName"), F.col("vat_number").alias("vatNumber"), "total")
+    docs.select(
+        "doc_id", "engine", F.concat(F.lit("2."), (k % 3).cast("string")).alias("engineVersion"), ((k % 8) / 8).alias("confidence"),
+        F.array_join(F.col("l.text"), "\n").alias("rawText"), F.when(k % 2 == 0, F.col("pages")).alias("pages"), F.when(k % 2 != 0, F.col("l")).alias("lines"),
+        F.when(k % 3 == 0, F.struct(F.lit("x").alias("rawText"), zatca.alias("zatca"))).alias("qr"), F.when(k % 5 == 0, "# text").alias("markdown"),
+        F.when(k % 4 == 0, True).alias("usedEnhancedFallback"),
+    ).write.json(folder)
+    return ocr.scan_ocr_json(spark, folder)
+
+
 def _engine_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Engine output per order: the last line has no polygon, the last two no score."""
     point = lambda x, y: F.array(x, y)
@@ -988,6 +1047,17 @@ def gate(spark, sf):
     return validate.approval_gate(D.extractions(spark, sf))
 
 
+@query(
+    "approval_gate_messages",
+    """{te}{ex}{dup} SELECT extraction_id, nullif(concat_ws('; ', CASE WHEN no_number THEN 'Invoice number is required' END,
+    CASE WHEN no_date THEN 'Invoice date is required' END, CASE WHEN no_total THEN 'Total amount is required' END,
+    CASE WHEN total_off THEN 'Total mismatch: ' || subtotal || ' + ' || vat_amount || ' = ' || (subtotal + vat_amount) || ', not ' || total END,
+    CASE WHEN is_duplicate THEN 'Duplicate invoice: ' || supplier_vat_number || ' / ' || invoice_number END), '') AS errors FROM fl""",
+)
+def gate_messages(spark, sf):
+    return validate.approval_gate(D.extractions(spark, sf, every=True), detailed=True)
+
+
 @query("posting_gate", "{it}{tt}{pi}{pl} SELECT * FROM pg")
 def post_gate(spark, sf):
     return validate.posting_gate(D.purchase_lines(spark, sf))
@@ -1117,6 +1187,26 @@ def upserted(spark, sf):
     )
 
 
+@query(
+    "upsert_keeps_raw_names",
+    """{nl}, sv AS (SELECT lower(p_name || ' ' || p_type) AS n, max(p_name || '  ' || upper(p_type)) AS raw FROM part GROUP BY 1
+    UNION ALL SELECT lower(p_name || ' ' || p_name), max(p_name || ' ' || p_name) FROM part GROUP BY 1)
+    SELECT coalesce(normalized_name, n) AS normalized_name, CASE WHEN normalized_name IS NULL THEN raw ELSE 'first ' || normalized_name END AS raw_vendor_item_name
+    FROM ma FULL JOIN sv ON normalized_name = n""",
+)
+def raw_names_kept(spark, sf):
+    names = table(spark, sf, "part").select(
+        F.explode(F.array(F.concat_ws("  ", "p_name", F.upper("p_type")), F.concat_ws(" ", "p_name", "p_name"))).alias("raw_name")
+    ).distinct()
+    no = F.lit(None).cast("string")
+    saves = names.select(
+        "raw_name", no.alias("supplier_id"), F.lit("new").alias("product_id"), F.lit("Carton").alias("source_unit"), no.alias("target_unit"),
+        F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("updated_at"),
+    )
+    known = D.mappings(spark, sf).withColumn("raw_vendor_item_name", F.concat(F.lit("first "), "normalized_name"))
+    return mapping.upsert_mappings(known, saves).select("normalized_name", "raw_vendor_item_name")
+
+
 @query(
     "convert_units",
     """{it}{el} SELECT line_id, CASE unit WHEN 'Box' THEN 'kg' WHEN 'pcs' THEN 'piece' WHEN 'كرتون' THEN 'kg' END AS target_unit,
@@ -1556,6 +1646,29 @@ def streamed_errors(spark, sf):
     return jobs.read_updates(spark, out, "window_start", "window_end", "error_code")
 
 
+@query(
+    "stream_error_rate_final",
+    """{st}, b AS (SELECT ts, error_code, seq % 3 AS b FROM st WHERE error_code IS NOT NULL),
+    m AS (SELECT max(ts) FILTER (b = 0) - INTERVAL '1 day' AS late, max(ts) - INTERVAL '1 day' AS reached FROM b),
+    w AS (SELECT unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes']) AS w, error_code, b FROM b)
+    SELECT w AS window_start, w + INTERVAL '1 hour' AS window_end, error_code, count(*) AS n FROM w, m
+    WHERE (b < 2 OR w + INTERVAL '1 hour' > late) AND w + INTERVAL '1 hour' <= reached GROUP BY ALL""",
+)
+def streamed_errors_once_final(spark, sf):
+    """Events in three micro-batches, sliding windows, each written once when the watermark has passed it.
+
+    A batch drops windows that the watermark of the batch before it had passed, here those of the
+    third that lie a day behind the first.
+    """
+    box, out, mark = (jobs.work_folder(spark, n) for n in ("event-box", "final-errors", "final-errors-mark"))
+    events = table(spark, sf, "events")
+    for n in range(3):
+        events.where(F.col("event_id") % 3 == n).coalesce(1).write.parquet(f"{box}/part={n}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{box}/part=*")
+    jobs.run_to_table(jobs.stream_error_rate(D.as_status_events(stream), "1 hour", "30 minutes", "1 day"), out, mark)
+    return spark.read.parquet(out).select("window_start", "window_end", "error_code", "n")
+
+
 @query("stream_jobs", "{st} SELECT DISTINCT upload_id, 'ocr:' || upload_id AS job_id FROM st")
 def streamed_jobs(spark, sf):
     out, mark = jobs.work_folder(spark, "jobs"), jobs.work_folder(spark, "jobs-mark")

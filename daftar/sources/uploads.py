@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daftar.functions import patterns as P
 
 
+def scan_uploads(spark: SparkSession, folder: str) -> DataFrame:
+    """A catalog of the files in a folder and below: path, file_name, mime_type, size_bytes, created_at.
+
+    Only what the storage says of a file is read, never its content. The type follows from the
+    ending, where that is one of an accepted type.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    ending = F.lower(F.regexp_extract("path", r"(\.[^./]*)\z", 1))
+    kinds = F.when(ending.isin(".jpg", ".jpeg"), "image/jpeg").when(ending == ".png", "image/png").when(ending == ".pdf", "application/pdf")
+    return files.select(
+        "path", F.regexp_extract("path", r"([^/]*)\z", 1).alias("file_name"), kinds.alias("mime_type"),
+        F.col("length").alias("size_bytes"), F.col("modificationTime").alias("created_at"),
+    )
+
+
 def admit_uploads(files: DataFrame, max_mb: int = P.MAX_UPLOAD_MB) -> DataFrame:
     """Adds ``extension`` and ``reject_reason`` (NULL = accepted) to a catalog of files.
 

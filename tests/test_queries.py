@@ -54,3 +54,23 @@ def test_scan_is_pruned(spark):
 
 def test_fuzzy_meets_on_keys(spark):
     assert "key#" in plan(map_fuzzy(_names(spark, SMOKE_DIR), D.mappings(spark, SMOKE_DIR)))
+
+
+def test_the_main_path_reaches_both_statuses(spark):
+    rows = QUERIES["extract_and_validate_every_order"](spark, SMOKE_DIR).groupBy("status").count().collect()
+    found = {r.status: r["count"] for r in rows}
+    assert set(found) == {"READY", "NEEDS_REVIEW"} and min(found.values()) > 50 and sum(found.values()) == 1500
+
+
+def test_a_scan_of_uploads_reads_no_content(spark, tmp_path):
+    from daftar.sources.uploads import accepted_uploads, scan_uploads
+
+    for name, size in (("a.PDF", 10), ("b.png", 30), ("c.txt", 5), ("in/d.jpeg", 7), ("noend", 1)):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes(b"x" * size)
+    files = scan_uploads(spark, str(tmp_path))
+    assert "content" not in plan(files)
+    got = {(r.file_name, r.mime_type, r.size_bytes) for r in accepted_uploads(files).collect()}
+    assert got == {("a.PDF", "application/pdf", 10), ("b.png", "image/png", 30), ("d.jpeg", "image/jpeg", 7)}
+    assert files.count() == 5
