@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from daftar.functions import patterns as P
@@ -56,10 +57,17 @@ def document_summary(lines: DataFrame, documents: DataFrame | None = None) -> Da
 
 
 def document_markdown(lines: DataFrame) -> DataFrame:
-    """Texts of a document from top to bottom, whatever page they are on."""
-    return lines.groupBy("doc_id").agg(
-        F.array_join(F.sort_array(F.collect_list(F.struct("y1", "line_no", "text")))["text"], "\n").alias("markdown")
-    )
+    """Texts of a document from top to bottom, whatever page they are on.
+
+    Lines are numbered in that order, then joined in slices and the slices joined, so that only the
+    result holds a whole document.
+    """
+    down = W.partitionBy("doc_id").orderBy("y1", "line_no", "text")
+    placed = lines.select("doc_id", "text", (F.row_number().over(down) - 1).alias("_p"))
+    texts = F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("_p", "text"))))["text"]
+    parts = placed.groupBy("doc_id", F.floor(F.col("_p") / _SLICE).alias("_s")).agg(texts.alias("_l"))
+    joined = F.when(F.size("_l") > 0, F.struct("_s", F.array_join("_l", "\n").alias("_t")))
+    return parts.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(joined))["_t"], "\n").alias("markdown"))
 
 
 def empty_document_warning(documents: DataFrame, lines: DataFrame) -> DataFrame:

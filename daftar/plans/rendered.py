@@ -99,7 +99,7 @@ def _emit(df: DataFrame, lines: list[Column]) -> DataFrame:
     text = F.col("l.text")
     shown = F.when(key % 5 == 0, F.translate(text, DIGITS, ARABIC)).otherwise(text)
     return (
-        df.select("order_key", F.explode(F.array_compact(F.array(*lines))).alias("l"))
+        df.select("order_key", F.explode(F.filter(F.array(*lines), lambda x: x.isNotNull())).alias("l"))
         .select(
             key.cast("string").alias("doc_id"),
             F.lit(1).alias("page_no"),
