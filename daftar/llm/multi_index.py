@@ -161,8 +161,8 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, recall: float = RE
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` for every row of ``vectors`` (vec_id, embedding).
 
     Null, empty and zero vectors and those holding a null or non-finite component link with
-    nothing. Equal vectors always link. Rows that share a vec_id and a vector count as further
-    copies of it. A row with a null vec_id links with nothing and has null results. Vectors of
+    nothing. Equal vectors always link. A vec_id is one node: rows that share it count as copies of
+    it, and if their vectors differ, its links are those of all its vectors together. A row with a null vec_id links with nothing and has null results. Vectors of
     different lengths do not link. An empty table gives an empty table; other columns are
     ignored.
     """

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from daftar.llm.hard_negatives import HIGHEST, LOWEST, integers
 from daftar.llm.shared import bounded_sample, small_batches, stage
 from daftar.llm.vectors import by_length, usable
 
@@ -28,10 +29,16 @@ PIVOTS = 16
 PIVOT_SAMPLE = 1024  # vectors the pivots are chosen from; the choice affects speed alone
 FIRST = 256  # candidates evaluated before the first look at the bounds
 EXACT = 2.0**52  # sums of products up to here are exact in double precision
+LARGE = 2.0**31  # vectors with a scaled component from here on are held apart, as they are
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
-    return np.floor(SCALE * x)
+    with np.errstate(over="ignore"):
+        return np.floor(SCALE * x)
+
+
+def is_large(x: np.ndarray) -> np.ndarray:
+    return np.abs(scaled(x)).max(axis=1, initial=0) >= LARGE
 
 
 def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
@@ -53,9 +60,8 @@ def _table(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _packed(x: np.ndarray) -> tuple[str, bytes]:
-    """The smallest integer type that holds a block; doubles where none does."""
-    most = np.abs(x).max(initial=0)
-    kind = "<i2" if most < 2**15 else "<i4" if most < 2**31 else "<f8"
+    """The smaller integer type that holds a block."""
+    kind = "<i2" if np.abs(x).max(initial=0) < 2**15 else "<i4"
     return kind, x.astype(kind).tobytes()
 
 
@@ -65,35 +71,41 @@ BLOCKS = "dim int, kind string, ids binary, vectors binary, pivot_table binary"
 def _blocks(size: int, pivots: dict[int, np.ndarray]):
     schema = pa.schema([("dim", pa.int32()), ("kind", pa.string()), ("ids", pa.binary()), ("vectors", pa.binary()), ("pivot_table", pa.binary())])
 
-    def row(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        kind, raw = _packed(x)
+    def row(ids: np.ndarray, x: np.ndarray, large: bool) -> pa.RecordBatch:
+        kind, raw = ("<f8", x.tobytes()) if large else _packed(x)
         none = np.zeros((0, x.shape[1]))
-        values = [x.shape[1], kind, ids.tobytes(), raw, _table(x, pivots.get(x.shape[1], none)).tobytes()]
+        # large vectors are compared without bounds
+        table = np.zeros((len(x), 1)) if large else _table(x, pivots.get(x.shape[1], none))
+        values = [x.shape[1], kind, ids.tobytes(), raw, table.tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for ids, x in by_length(batch.column(0), batch.column(1)):
-                x = scaled(x)
-                if x.shape[1] in held:
-                    ids, x = np.concatenate([held[x.shape[1]][0], ids]), np.concatenate([held[x.shape[1]][1], x])
-                while len(ids) >= size:
-                    yield row(ids[:size], x[:size])
-                    ids, x = ids[size:], x[size:]
-                held[x.shape[1]] = ids, x
-        for ids, x in held.values():
+            for every, vectors in by_length(batch.column(0), batch.column(1)):
+                apart = is_large(vectors)
+                for large in (False, True):
+                    ids, x = every[apart == large], vectors[apart == large]
+                    key, x = (x.shape[1], large), x if large else scaled(x)
+                    if key in held:
+                        ids, x = np.concatenate([held[key][0], ids]), np.concatenate([held[key][1], x])
+                    while len(ids) >= size:
+                        yield row(ids[:size], x[:size], large)
+                        ids, x = ids[size:], x[size:]
+                    held[key] = ids, x
+        for (_, large), (ids, x) in held.items():
             if len(ids):
-                yield row(ids, x)
+                yield row(ids, x, large)
 
     return run
 
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products of one query with some candidates."""
-    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * len(q) < EXACT:
+    """Integer inner products of one query with some candidates, held at the ends of a long's range."""
+    if object not in (q.dtype, x.dtype) and np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * len(q) < EXACT:
         return (x @ q).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(q, v, strict=True)) for v in x], dtype=np.int64)
+    exact = [sum(int(a) * int(b) for a, b in zip(q, v, strict=True)) for v in x]
+    return np.array([min(max(s, LOWEST), HIGHEST) for s in exact], dtype=np.int64)
 
 
 def best(
@@ -113,7 +125,7 @@ def best(
     while at < end:
         now = order[at : min(at + step, end)]
         found_ids, found = np.concatenate([found_ids, ids[now]]), np.concatenate([found, _scores(q, x[now])])
-        first = np.lexsort((found_ids, -found))[:k]
+        first = np.lexsort((found_ids, -1 - found))[:k]  # -1 - s does not overflow
         found_ids, found = found_ids[first], found[first]
         at, step = at + len(now), step * 2
         if len(found) == k:
@@ -130,9 +142,16 @@ MATCHES = "query_id long, vec_id long, score long"
 def _search(k: int):
     def matrix(row: dict, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = np.frombuffer(row[f"{side}_ids"], dtype=np.int64)
-        x = np.frombuffer(row[f"{side}_vectors"], dtype=row[f"{side}_kind"]).astype(np.float64).reshape(len(ids), -1)
+        x = integers(row[f"{side}_kind"], row[f"{side}_vectors"], (len(ids), row["dim"]))
         return ids, x, np.frombuffer(row[f"{side}_pivot_table"], dtype=np.float64).reshape(len(ids), -1)
 
+    def every(q: np.ndarray, q_id: int, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of all candidates, where components are too large for bounds in doubles."""
+        ids, x = ids[ids != q_id], x[ids != q_id]
+        scores = _scores(q, x)
+        first = np.lexsort((ids, -1 - scores))[:k]
+        return ids[first], scores[first]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kth: dict[int, float] = {}  # what the k-th of a query reached in this task's earlier blocks
         for batch in batches:
@@ -140,7 +159,12 @@ def _search(k: int):
                 row = batch.slice(at, 1).to_pylist()[0]
                 (qi, q, qt), (ci, c, ct) = matrix(row, "q"), matrix(row, "c")
                 out: list[list] = [[], [], []]
+                large = object in (q.dtype, c.dtype)
                 for i in range(len(qi)):
+                    if large:
+                        ids, scores = every(q[i], int(qi[i]), ci, c)
+                        out[0].append(np.full(len(ids), qi[i])), out[1].append(ids), out[2].append(scores)
+                        continue
                     ids, scores, _ = best(q[i], int(qi[i]), qt[i], ci, c, ct, k, kth.get(int(qi[i]), -np.inf))
                     if len(ids) == k:
                         kth[int(qi[i])] = max(kth.get(int(qi[i]), -np.inf), float(scores[-1]))
@@ -157,7 +181,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     empty vectors, vectors holding a null or non-finite component, and rows with a null
     vec_id take no part. Vectors of different lengths do not meet. A candidate with the
     query's vec_id is the query's own row; of query rows that share a vec_id the smallest
-    vector asks. Candidate rows that repeat are ranked one by one. Other columns are ignored.
+    vector asks. Candidate rows that repeat are ranked one by one. Scores beyond the range of a
+    long count as its nearest end. Other columns are ignored.
     """
     spark = vectors.sparkSession
     small_batches(spark, 2000)
@@ -167,7 +192,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     pivots = {}
     if sample.num_rows:
         for _, x in by_length(sample.column(0).combine_chunks(), sample.column(1).combine_chunks()):
-            pivots[x.shape[1]] = choose_pivots(scaled(x))
+            pivots[x.shape[1]] = choose_pivots(scaled(x[~is_large(x)]))
     queries = rows.filter("asks").groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = stage(queries.mapInArrow(_blocks(QUERY_BLOCK, pivots), BLOCKS), "query-blocks")
     blocks = stage(rows.select("vec_id", "v").mapInArrow(_blocks(BLOCK, pivots), BLOCKS), "vector-blocks")

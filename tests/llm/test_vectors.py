@@ -92,3 +92,24 @@ def test_top_k_edges(spark):
     assert got[:3] == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 2, 65536)]
     assert [g[2:] for g in got if g[0] == 50] == [(1, 0), (1005, 0), (0, -65536)] and {g[0] for g in got} == {0, 50}
     assert topk.top_k(spark.createDataFrame([], SCHEMA), topk.F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_top_k_of_large_components(spark):
+    """Beyond what doubles and longs hold: exact where a long can say it, else at its ends."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    scales = [1.0, 1e5, 8e6, 1e12, 1e200, 1e308]
+    rows = [(i, (rng.uniform(-1, 1, 3) * scales[i % 6]).tolist(), 0) for i in range(90)] + [(90, [1e308] * 3, 0), (91, [-1e308] * 3, 0), (92, [0.0] * 3, 0)]
+    whole = {i: [int(x) * 256 if abs(x) > 1e300 else math.floor(x * 256) for x in v] for i, v, _ in rows}
+    clip = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    want = {}
+    for q in range(0, 93, 10):
+        scores = sorted((-clip(sum(a * b for a, b in zip(whole[q], whole[i]))), i) for i in whole if i != q)
+        want[q] = [(i, -s) for s, i in scores[:5]]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, SCHEMA).repartition(3), F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == want
