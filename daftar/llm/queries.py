@@ -98,7 +98,11 @@ def _found_sql(kind: str, nth: int, pattern: str, group: int, least: int) -> str
 )
 def scan_secrets(spark, sf):
     blobs = secrets.versions(table(spark, sf, "documents").select("doc_id", "text"))
-    ledger = stage(secrets.new_entries(secrets.unseen(blobs.select("blob", "body"), None)), "secret-ledger")
+    # two states of the store: one that held part of the texts, scanned into a ledger, and the present
+    # one with all of them, of which only what that ledger lacks is scanned
+    texts = blobs.select("blob", "body")
+    earlier = stage(secrets.new_entries(secrets.unseen(texts.filter(F.xxhash64("blob") < 0), None)), "secret-ledger")
+    ledger = earlier.union(stage(secrets.new_entries(secrets.unseen(texts, earlier)), "secret-ledger"))
     paths = blobs.select("doc.doc_id", "blob")
     spans = secrets.spans_text(F.col("spans"))
     found = secrets.findings_by_path(paths, ledger)

@@ -50,7 +50,12 @@ LEDGER = "blob binary, rule string, spans array<struct<start: long, end: long>>"
 
 
 def versions(docs: DataFrame) -> DataFrame:
-    """``doc`` (the row as given), ``blob`` (its text's digest, a null text is empty) and ``body``."""
+    """``doc`` (the row as given), ``blob`` (its text's digest, a null text is empty) and ``body``.
+
+    Null identifiers and repeated rows stay rows of their own, with the findings of their text; a text of
+    any length is one blob; an empty table gives an empty table, here and in the steps below. The row
+    is a struct, so no other column can clash.
+    """
     body = F.coalesce("doc.text", F.lit(""))
     return docs.select(F.struct("*").alias("doc")).select(
         "doc", F.unhex(F.sha2(body, 256)).alias("blob"), body.alias("body")

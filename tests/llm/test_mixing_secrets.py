@@ -83,3 +83,16 @@ def test_ledger_scans_only_what_is_new(spark):
     changed = (secrets.RULES[0], secrets.Rule("hex", "2", "[0-9a-f]{8}", "[0-9a-f]+", 0, 8))
     todo = {bytes(r.blob).hex()[:4]: sorted(r.todo) for r in secrets.unseen(secrets.versions(old).select("blob", "body"), ledger, changed).collect()}
     assert len(todo) == 2 and all(t == ["hex@2"] for t in todo.values())
+
+
+def test_secret_steps_on_empty_tables_and_odd_rows(spark):
+    rows = [(None, "token=abcdefgh", 1), (None, "token=abcdefgh", 1), (1, None, 2), (2, "x" * 500_000 + " secret: 12345678", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    empty = secrets.versions(df.limit(0))
+    none = secrets.new_entries(secrets.unseen(empty.select("blob", "body"), None))
+    assert none.collect() == [] and secrets.findings_by_path(empty.select("doc.doc_id", "blob"), none).collect() == []
+    blobs = secrets.versions(df)
+    # against an empty ledger as against none
+    ledger = secrets.new_entries(secrets.unseen(blobs.select("blob", "body"), none))
+    found = secrets.findings_by_path(blobs.select("doc.doc_id", "blob"), ledger).withColumn("said", secrets.spans_text(F.col("spans"))).collect()
+    assert sorted((r.doc_id or 0, r.said) for r in found) == [(0, "assign:0:14"), (0, "assign:0:14"), (1, ""), (2, "assign:500001:500017")]
