@@ -72,6 +72,16 @@ def test_a_batch_that_was_killed_posts_once(spark, tmp_path, monkeypatch):
     assert latest == dict.fromkeys(["up-1", "up-2", "up-3", "up-9"], "POSTED_TO_ACCOUNTING")
 
 
+def test_an_invoice_that_cannot_be_posted_is_tried_again(spark, tmp_path):
+    ledger = Ledger(str(tmp_path / "ledger"), 4)
+    undated = invoices(spark, 9).withColumn("invoice_date", F.lit(None).cast("date"))
+    ledger.post(undated, lines(spark, 9), 0, at())
+    assert counts(spark, ledger) == {"movements": 0, "journal": 0, "audit": 0, "statuses": 0}
+    ledger.post(invoices(spark, 9), lines(spark, 9), 1, at())
+    ledger.post(invoices(spark, 9), lines(spark, 9), 2, at())
+    assert counts(spark, ledger) == {"movements": 0, "journal": 3, "audit": 1, "statuses": 1}
+
+
 def test_an_empty_ledger(spark, tmp_path):
     ledger = Ledger(str(tmp_path / "ledger"), 4)
     assert counts(spark, ledger) == {"movements": 0, "journal": 0, "audit": 0, "statuses": 0}
