@@ -24,7 +24,7 @@ from daftar.llm.segments import held_out
 from daftar.llm.shared import small_batches
 
 PER_CLASS = 1000  # labelled documents of each class the network learns from
-SAMPLE_CHARS = 20_000  # of a longer document one piece of this length is used for learning
+PIECE_CHARS, PIECES = 20_000, 20  # of a document that has more pieces of this length, so many are used for learning
 WINDOW, STEP = 32, 16  # words
 WORD_DIM, TRIPLE_DIM, HIDDEN = 12, 8, 8
 VOCABULARY, LEAST_DOCS = 20_000, 4
@@ -246,12 +246,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     drawn = [
         marks.filter(~held_out() & (F.col("toxic") == k)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS) for k in (0, 1)
     ]
-    # of rows that share an identifier the least text, and of a long text one piece: what is drawn is bounded
+    # of rows that share an identifier the least text, and of a very long one some pieces: what is drawn
+    # is bounded. A toxic document is toxic somewhere, so shorter ones are learned from whole
     texts = known.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{SAMPLE_CHARS}}}"), F.lit(0))
-    piece = F.try_element_at("pieces", (F.pmod(F.xxhash64("doc_id"), F.size("pieces")) + 1).cast("int"))
-    texts = texts.withColumn("pieces", pieces).filter(F.size("pieces") > 0)
-    table = texts.select("doc_id", piece.alias("text"), "toxic").toArrow().sort_by([("doc_id", "ascending")])
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))
+    mixed = F.array_sort(F.transform(pieces, lambda p, i: F.struct(F.xxhash64("doc_id", i).alias("at"), p.alias("piece"))))
+    some = F.array_join(F.transform(F.slice(mixed, 1, PIECES), lambda p: p["piece"]), " ")
+    text = F.when(F.length("text") > PIECES * PIECE_CHARS, some).otherwise(F.col("text"))
+    table = texts.select("doc_id", text.alias("text"), "toxic").toArrow().sort_by([("doc_id", "ascending")])
     y = table.column("toxic").to_numpy().astype(int)
     if not 0 < y.sum() < len(y):
         return None
