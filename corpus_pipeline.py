@@ -4,6 +4,11 @@ group, redact personal data, mix sources, encode.
 Every stage takes (spark, docs, sf_dir) and returns a table; ``run`` writes it as Parquet to
 the shared folder and hands what it reads back to the next. All but the last keep the
 documents' columns.
+
+In every stage a null text counts as empty and stays null, null ids and repeated rows are rows like
+others, texts of any length are read whole, an empty table gives an empty one, and columns
+besides those a stage reads are carried along whatever their names. What a stage does beyond
+that stands with it.
 """
 
 from __future__ import annotations
@@ -16,12 +21,15 @@ from daftar.llm.shared import stage
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network does not reject."""
+    """Documents that the network does not reject; those without a letter stay."""
     return toxicity.not_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id, one row of it."""
+    """One document of each group: the one with the smallest doc_id, one row of it.
+
+    Rows without words and rows without an id link with nothing, and all of them stay.
+    """
     return jaccard.one_of_each(docs)
 
 
@@ -31,12 +39,15 @@ def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in training order, a row per copy of a document that it takes."""
+    """The mix in training order, a row per copy of a document that it takes.
+
+    Documents without words take a place like others; a null source is a source of its own.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the mix."""
+    """Token counts and digests of the mix, a row per row; a null text has the two ids that begin and end."""
     return pieces.round_trip(docs, pieces.load(piece_model()))
 
 

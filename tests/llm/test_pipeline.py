@@ -5,7 +5,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from daftar.llm import mixing, pii, toxicity
+from daftar.llm import mixing, pii
 from daftar.llm.shared import stage
 
 SF = "/root/testdata/sf0.01"
@@ -60,6 +60,40 @@ def test_mix_follows_its_plan(spark, steps):
     assert len(steps[4][1]) == len(after) and set(steps[4][1][0].asDict()) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
 
 
-def test_run_ends_with_the_last_stage():
+def test_run_gives_what_its_stages_give(spark, steps):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard", "pii", "mixing", "sentencepiece"]
-    assert corpus_pipeline.ORACLE_SQL is None and toxicity and F
+    assert corpus_pipeline.ORACLE_SQL is None
+    rows = lambda some: sorted(tuple(r) for r in some)
+    assert rows(corpus_pipeline.run(spark, SF).collect()) == rows(steps[-1][1])
+
+
+def odd(spark):
+    """Nulls in every column, empty and long texts, repeated rows, and columns named like those that stages make."""
+    long_text = " ".join(f"word{i % 97} thed" for i in range(40_000))
+    rows = [(None, None, None, None, None), (1, None, "en", "a", 0), (2, "", None, None, None), (3, "the of and", "en", "a", 10), (3, "the of and", "en", "a", 10),
+            (4, "The OF and", "en", None, 10), (None, "mail me@x.org now or later today", None, "b", 1), (5, long_text, "en", "b", 1), (6, long_text + " end", "en", "b", 1),
+            (7, "call +1 (617) 555-0100 now", "en", "a", 1), (8, "12 .", None, "c", 4)]
+    names = ["toxicity", "score", "component_id", "rep", "spans", "size", "positions", "h", "bucket", "n_tokens", "held_out", "v"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)]), names
+
+
+def test_stages_on_odd_rows(spark):
+    docs, names = odd(spark)
+    step = dict(corpus_pipeline.STAGES)
+    columns, empty = docs.columns, docs.limit(0)
+    kept = step["toxicity"](spark, docs, SF)
+    assert kept.columns == columns and kept.count() == docs.count()
+    one = step["jaccard"](spark, docs, SF)
+    texts = [(r.doc_id, r.text and r.text[:20]) for r in one.collect()]
+    # the copies of 3 and of the long text go; rows without words or id stay
+    assert one.columns == columns and sorted(d for d, _ in texts if d is not None) == [1, 2, 3, 5, 7, 8] and sum(d is None for d, _ in texts) == 2
+    clean = step["pii"](spark, docs, SF)
+    assert clean.columns == columns and clean.count() == docs.count()
+    assert {r.text for r in clean.filter("doc_id is null or doc_id in (1, 7)").collect()} == {None, "mail [EMAIL] now or later today", "call [PHONE] now"}
+    mixed = step["mixing"](spark, docs, SF)
+    assert mixed.columns == columns and all(r[n] == i for r in mixed.collect() for i, n in enumerate(names))
+    encoded = step["sentencepiece"](spark, docs, SF)
+    assert encoded.count() == docs.count() and encoded.filter("doc_id = 1").first().n_tokens == 2
+    for name, function in corpus_pipeline.STAGES:
+        assert function(spark, empty, SF).collect() == [], name
