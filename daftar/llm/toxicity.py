@@ -179,7 +179,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> tuple[N
     net = Network.fresh({w: i + 1 for i, w in enumerate(common)})
     names = sorted(seen)
     place = {w: i for i, w in enumerate(names)}
-    index = [np.array([place[w] for w in words], dtype=np.int64) for words in split]
+    index = [np.array([place[w] for w in words], dtype=np.int32) for words in split]
+    del split, place
     starts = [windows(len(i)) for i in index]
     owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
     slots, masks = (np.concatenate(c) for c in zip(*[_slots(i, s) for i, s in zip(index, starts, strict=True)], strict=True))
@@ -188,7 +189,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> tuple[N
     adam = _Adam(net.w)
 
     def logits() -> np.ndarray:
-        table = net.projected(net.inputs(names)[0])
+        table = np.concatenate([net.projected(net.inputs(names[i : i + 20_000])[0]) for i in range(0, len(names), 20_000)])
         return np.concatenate([net.run(table[slots[i : i + AT_ONCE]], masks[i : i + AT_ONCE]) for i in range(0, len(slots), AT_ONCE)])
 
     def worst(scores: np.ndarray) -> np.ndarray:
