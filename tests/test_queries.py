@@ -74,3 +74,13 @@ def test_a_scan_of_uploads_reads_no_content(spark, tmp_path):
     got = {(r.file_name, r.mime_type, r.size_bytes) for r in accepted_uploads(files).collect()}
     assert got == {("a.PDF", "application/pdf", 10), ("b.png", "image/png", 30), ("d.jpeg", "image/jpeg", 7)}
     assert files.count() == 5
+
+
+def test_responses_are_kept_compressed(spark, tmp_path, monkeypatch):
+    from daftar.plans import catalog
+
+    monkeypatch.setattr(catalog.jobs, "work_folder", lambda spark, name: str(tmp_path / name))
+    for name, folder in (("scan_ocr_json", "ocr-json"), ("rejected_results", "ocr-cut"), ("ocr_result_summary", "ocr-full")):
+        assert len(QUERIES[name](spark, SMOKE_DIR).collect()) > 1000
+        files = [f for f in (tmp_path / folder).iterdir() if f.name.startswith("part-")]
+        assert files and all(f.name.endswith(".gz") for f in files)
