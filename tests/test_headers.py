@@ -2,9 +2,12 @@ import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 from samples import FOOTER_ONLY, NOISY_FOOTER, POSITIONED, RECEIPT_1, RECEIPT_2
 
-from daftar.operators.headers import extract_headers
+from daftar.functions import patterns as P
+from daftar.functions.text import AMOUNT
+from daftar.operators.headers import extract_headers, first_amount, last_amount
 from daftar.operators.keyword_amounts import amount_by_keywords, amount_near_keyword, amount_near_keyword_strict
 
 DOCS = {
@@ -110,3 +113,31 @@ def test_document_without_lines_gets_a_header(spark, as_lines):
     assert got["empty"].warnings == [
         "Invoice number not detected", "Invoice date not detected", "Total amount not detected", "Supplier VAT number not detected",
     ]
+
+
+def test_search_ends_at_the_first_amount(spark):
+    """Places behind the found one are not looked at."""
+    places = F.array(*[F.lit(i) for i in range(4)])
+    amount = lambda i: F.when(i == F.col("at"), F.lit("7.00").cast(AMOUNT))
+    never = F.raise_error(F.lit("looked too far")).cast(AMOUNT)
+    df = spark.createDataFrame([(0,), (2,), (9,)], "at int")
+    found = df.select(
+        first_amount(places, lambda i: F.when(i > F.col("at"), never).otherwise(amount(i))).alias("a"),
+        last_amount(places, lambda i: F.when((F.col("at") < 4) & (i < F.col("at")), never).otherwise(amount(i))).alias("b"),
+    )
+    assert [tuple(r) for r in found.collect()] == [(Decimal("7.00"),) * 2] * 2 + [(None, None)]
+
+
+def test_gated_patterns_match_what_they_matched(spark):
+    texts = [
+        "VAT", "xvat 5", "ſubtotal", "SUB  TOTAL", "va t", "caſh", "İnvoice", "ınvoice", "invoice", "Kg 5", "KG",
+        "الإجمالي", "قبل  الضريبة", "رقم الضريبي", "الرقم الضريبي", "total\n", "", "sar", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    words = [P.STRICT_SUBTOTAL, P.LOOSE_VAT, P.FOOTER_WORDS, P.STOP_WORDS, P.COLUMN_TITLES, "kg|pcs", "invoice|total$", "s?ar|vat", "s|", "(?!)", "a(?:b|c)|t"]
+    assert P.gated("s?ar|vat") == P.java_regex("s?ar|vat") and P.gated(P.STOP_WORDS) != P.java_regex(P.STOP_WORDS)
+    for flags in ("iu", "i", ""):
+        for one in [*([w] for w in words), P.NOT_AN_AMOUNT_LINE, P.TOTAL_LABELS]:
+            plain = P.java_regex("|".join(f"(?:{p})" for p in one), flags)
+            got = df.select(F.rlike("t", F.lit(P.any_of(one, flags))).alias("a"), F.rlike("t", F.lit(plain)).alias("b")).collect()
+            assert [r.a for r in got] == [r.b for r in got], (one, flags)
