@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from samples import FOOTER_ONLY, NOISY_FOOTER, POSITIONED, RECEIPT_1, RECEIPT_2
 
 from daftar.functions import patterns as P
-from daftar.functions.text import AMOUNT
-from daftar.operators.headers import extract_headers, first_amount, last_amount
+from daftar.functions.text import AMOUNT, made_canonical, trim_all
+from daftar.operators.headers import LABEL_HINT, ROLE_HINT, extract_headers, first_amount, header_lines, last_amount
 from daftar.operators.keyword_amounts import amount_by_keywords, amount_near_keyword, amount_near_keyword_strict
 
 DOCS = {
@@ -141,3 +141,35 @@ def test_gated_patterns_match_what_they_matched(spark):
             plain = P.java_regex("|".join(f"(?:{p})" for p in one), flags)
             got = df.select(F.rlike("t", F.lit(P.any_of(one, flags))).alias("a"), F.rlike("t", F.lit(plain)).alias("b")).collect()
             assert [r.a for r in got] == [r.b for r in got], (one, flags)
+
+
+def test_header_patterns_begin_where_their_heads_stand(spark):
+    texts = [
+        "فاتورة# 12 طلب 7", "x # فاتوره 9", "رقم الفاتورة: A-1", "INVOICE no 5", "Tax Invoice No 6", "Order #8", "# 4 order", "رقم ضريبي 310227420600003",
+        "الرقم الضريبى 310227420600003", "TRN: 310227420600003", "a 310227420600003", "تاريخ الفاتوره 2024-01-31", "وقت الطلب 2024/1/3", "Date 1/2/2024",
+        "في 2024.1.2", "31-12-2023", "x 20240131", "شركة النور الكبرى\nx", "Sold by Acme Ltd", "vendor: Acme Ltd", "البائع: متجر النور", "nothing",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    tables = [P.INVOICE_NUMBER, P.ORDER_NUMBER, P.VAT_NUMBER, P.INVOICE_DATE, P.SUPPLIER_NAME]
+    for pattern, flags, heads in (p for table in tables for p in table):
+        found = df.select("v", *[F.regexp_extract("v", r, 1) for r in (P.headed(pattern, flags, heads), P.java_regex(pattern, flags))]).collect()
+        assert all(r[1] == r[2] for r in found), pattern
+        assert any(r[1] for r in found), pattern
+
+
+def test_lines_are_canonical_one_by_one_but_for_a_colon_that_runs_over(spark):
+    texts = ["a SAR\n: 5", "SAR:\n:5", "SAR \n\u200f \n:5 x", "b\n\n ٥ ر.س \n﷼: 3", "x\n:y", " SAR\t5\n\n", ""]
+    df = spark.createDataFrame([([None, t, "c  d"],) for t in texts], "raw array<string>")
+    whole = F.transform(F.split(made_canonical(F.array_join("raw", "\n")), "\n"), trim_all)
+    for raw, lines, expected in df.select("raw", header_lines(F.col("raw")), F.filter(whole, lambda x: x != "")).collect():
+        assert lines == expected, raw
+
+
+def test_lines_of_no_role_word_have_no_role():
+    import re
+
+    for word in ("VISA", "v\u0131\u017fa", "Sub\u017fubTotal", "الضريبي", "نقد", "المضافة"):
+        assert re.search(ROLE_HINT, f"x {word} y") and re.search(LABEL_HINT, f"x {word} y"), word
+    for words in (P.STRICT_SUBTOTAL, P.STRICT_VAT, P.STRICT_TOTAL, P.LOOSE_VAT, *P.NOT_AN_AMOUNT_LINE, *P.STRICT_VAT_EXCLUDE, *P.STRICT_SUBTOTAL_EXCLUDE):
+        assert all(re.search(ROLE_HINT, w.replace(r"\s*", "")) for w in words.split("|")), words
+    assert not re.search(ROLE_HINT, "فاتورة# 12") and re.search(LABEL_HINT, "فاتورة# 12")

@@ -7,6 +7,7 @@ from daftar.functions.text import (
     date_from_digit_runs,
     leading_number,
     line_amount,
+    made_canonical,
     parse_date,
     single_line,
     trim_all,
@@ -35,6 +36,15 @@ def test_canonical_text(spark, text, expected):
     assert one(spark, text, canonical_text) == expected
 
 
+def test_lines_passed_as_they_are_are_canonical(spark):
+    """Lines of all odd characters between, before and after plain ones."""
+    odd = [*"\t\n\u00a0\u200b\u200f\ufeff٠۹،٫﷼:é\x01َى", " ", "  ", "ريال", "ر.س", "SAR:", "sar :", "إجمالى", "ضريبه", "فاتوره", "ه", ""]
+    texts = [t for o in odd for t in (o, f"{o}a", f"b{o}", f"فاتورة{o}1", f"SAR{o}: 2", f"2 {o} SAR 3", f"ر{o}.س", None)]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    for v, passed, made in df.select("v", canonical_text("v"), made_canonical(F.col("v"))).collect():
+        assert passed == made, repr(v)
+
+
 def test_single_line_and_trim(spark):
     assert one(spark, "a\nb", single_line) == "a b"
     assert one(spark, "  x ﻿", trim_all) == "x"
