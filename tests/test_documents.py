@@ -227,3 +227,19 @@ def test_currency_runs_over_chunk_borders(as_lines, size):
             assert c.before == all_[max(0, at - 12) : at] and c.after == all_[at + len(c.core) :][:12]
     for job in (extract_headers, lambda *a, **k: amount_by_keywords(*a, ["الإجمالي|total|vat"], **k)):
         assert sorted(job(lines, size=size, split=True).collect()) == sorted(job(lines, split=False).collect())
+
+
+def test_long_documents_are_gathered_once(spark, as_lines, tmp_path, monkeypatch):
+    """Borders, edges and chunks are read from rows that were gathered and made canonical once, not from the lines again."""
+    as_lines(BORDERS).write.parquet(str(tmp_path / "lines"))
+    lines, kept = spark.read.parquet(str(tmp_path / "lines")), []
+
+    def stage(df, name):
+        kept.append(df._jdf.queryExecution().executedPlan().toString())
+        df.write.parquet(str(tmp_path / f"kept-{name}"))
+        return spark.read.parquet(str(tmp_path / f"kept-{name}"))
+
+    monkeypatch.setattr("daftar.operators.chunks.stage", stage, raising=False)
+    parts = document_chunks(lines, header_lines, 2, True)
+    plans = [*kept, parts._jdf.queryExecution().executedPlan().toString()]
+    assert sum(p.count(f"{tmp_path}/lines") for p in plans) == 1, plans
