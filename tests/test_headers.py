@@ -7,7 +7,7 @@ from samples import FOOTER_ONLY, NOISY_FOOTER, POSITIONED, RECEIPT_1, RECEIPT_2
 
 from daftar.functions import patterns as P
 from daftar.functions.text import AMOUNT, made_canonical, trim_all
-from daftar.operators.headers import LABEL_HINT, ROLE_HINT, extract_headers, first_amount, header_lines, last_amount
+from daftar.operators.headers import LABEL_HINT, ROLE_HINT, extract_headers, first_amount, header_lines, last_amount, warning_counts
 from daftar.operators.keyword_amounts import amount_by_keywords, amount_near_keyword, amount_near_keyword_strict
 
 DOCS = {
@@ -173,3 +173,11 @@ def test_lines_of_no_role_word_have_no_role():
     for words in (P.STRICT_SUBTOTAL, P.STRICT_VAT, P.STRICT_TOTAL, P.LOOSE_VAT, *P.NOT_AN_AMOUNT_LINE, *P.STRICT_VAT_EXCLUDE, *P.STRICT_SUBTOTAL_EXCLUDE):
         assert all(re.search(ROLE_HINT, w.replace(r"\s*", "")) for w in words.split("|")), words
     assert not re.search(ROLE_HINT, "فاتورة# 12") and re.search(LABEL_HINT, "فاتورة# 12")
+
+
+def test_warnings_are_counted_without_a_filter_on_them(spark):
+    """The filter of a plain explode would be written out down to the lines, beyond any memory."""
+    rows = [("a", ["x", "y"]), ("b", ["x"]), ("b", ["x"]), ("c", []), (None, None)]
+    counts = warning_counts(spark.createDataFrame(rows, "doc_id string, warnings array<string>"))
+    assert sorted(map(tuple, counts.collect())) == [("x", 3), ("y", 1)]
+    assert "size(" not in counts._jdf.queryExecution().optimizedPlan().toString()
