@@ -28,6 +28,15 @@ def test_every_order_has_a_header(spark, con):
     assert empty > 0 and QUERIES["extract_headers_every_order"](spark, SMOKE_DIR).count() == n
 
 
+def test_coverage_is_of_every_order_and_field(spark, con):
+    from daftar.operators.headers import HEADER_FIELDS
+
+    found = QUERIES["extraction_coverage"](spark, SMOKE_DIR)
+    assert {f"{c}_rate" for c in HEADER_FIELDS} - {"doc_id_rate", "confidence_rate", "warnings_rate"} <= set(found.columns)
+    n, blank = con.sql("SELECT count(*), count(*) FILTER (o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) AND o_orderkey % 2 = 0) FROM orders").fetchall()[0]
+    assert 0 < blank < n and sorted(r.n_docs for r in found.where("year IS NULL").collect()) == [blank, n]
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
