@@ -25,6 +25,7 @@ from daftar.llm.vectors import by_length, usable
 
 SCALE = 256
 BLOCK, QUERY_BLOCK = 4096, 1024
+GROUP = 128  # query blocks that a task holds
 PIVOTS = 16
 PIVOT_SAMPLE = 1024  # vectors the pivots are chosen from; the choice affects speed alone
 FIRST = 256  # candidates evaluated before the first look at the bounds
@@ -174,6 +175,16 @@ def _search(k: int):
     return run
 
 
+def _grid(candidates: int, queries: int, cores: int) -> tuple[int, int]:
+    """Into how many shares the candidate blocks go, and into how many groups the query blocks.
+
+    A query block is copied once per share, a candidate block once per group. Copies of queries are no more than there are
+    candidates, unless that leaves too few shares for the cores; a group is what a task holds in memory.
+    """
+    shares = max(2 * cores, candidates * BLOCK // max(1, queries * QUERY_BLOCK))
+    return max(1, min(candidates, shares)), max(1, -(-queries // GROUP))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the k best of all other rows for every query row.
 
@@ -198,11 +209,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     blocks = stage(rows.select("vec_id", "v").mapInArrow(_blocks(BLOCK, pivots), BLOCKS), "vector-blocks")
     small_batches(spark, 4)  # rows are whole blocks from here on
     name = lambda df, side: df.select("dim", *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c != "dim"])
-    # a query block for each share of the candidates, so that pairs of blocks spread over tasks
-    shares = max(1, blocks.count())
-    left = name(asked, "q").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    right = name(blocks, "c").withColumn("share", F.pmod(F.xxhash64("c_ids"), F.lit(shares)).cast("int"))
-    pairs = right.join(left, ["dim", "share"])
+    # pairs of blocks spread over tasks: each task takes one share of the candidates and one group of the queries
+    shares, groups = _grid(blocks.count(), asked.count(), spark.sparkContext.defaultParallelism)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    one = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = name(asked, "q").withColumn("share", every(shares)).withColumn("group", one("q_ids", groups))
+    right = name(blocks, "c").withColumn("share", one("c_ids", shares)).withColumn("group", every(groups))
+    # merged: Spark reckons the copies of the query blocks as one, and would gather them all in the driver to broadcast them
+    pairs = right.join(left.hint("merge"), ["dim", "share", "group"])
     matches = pairs.mapInArrow(_search(k), MATCHES)
     place = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return matches.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -113,3 +113,23 @@ def test_top_k_of_large_components(spark):
     for r in topk.top_k(spark.createDataFrame(rows, SCHEMA).repartition(3), F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == want
+
+
+def test_copies_of_query_blocks_are_not_broadcast(spark, monkeypatch):
+    """They are reckoned as one copy, so a broadcast would gather them all in the driver; several shares and groups give the same."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-40, 40, size=(300, 6)) / 256
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    monkeypatch.setattr(topk, "BLOCK", 16), monkeypatch.setattr(topk, "QUERY_BLOCK", 4), monkeypatch.setattr(topk, "GROUP", 3, raising=False)
+    out = topk.top_k(spark.createDataFrame(rows, SCHEMA).repartition(3), topk.F.col("vec_id") % 10 == 0, 4)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    scores = (256 * x) @ (256 * x).T
+    want = {(q, k + 1): (v, int(scores[q, v])) for q in range(0, 300, 10) for k, v in enumerate(sorted((i for i in range(300) if i != q), key=lambda i: (-scores[q, i], i))[:4])}
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in out.collect()} == want
+
+
+def test_grid_bounds_copies_and_what_a_task_holds():
+    for candidates, queries in ((1, 1), (5, 1), (4000, 300), (4000, 16000), (0, 0)):
+        shares, groups = topk._grid(candidates, queries, 12)
+        assert 1 <= shares <= max(1, candidates) and queries <= groups * topk.GROUP
+        assert queries * topk.QUERY_BLOCK * shares <= max(candidates * topk.BLOCK, 24 * queries * topk.QUERY_BLOCK, topk.QUERY_BLOCK)
